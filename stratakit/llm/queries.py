@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakit.llm import langid, quality, urls, warc
+from stratakit.llm import jaccard, langid, quality, urls, warc
 from stratakit.llm.common import read_table
 from stratakit.session import ship
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard.join_components(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return langid.predict_documents(read_table(spark, sf_dir, "documents"))
@@ -30,7 +35,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.label_listed(F.col("key"))).drop("in_list")
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op7_warc, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op4_language_id, op7_warc, op9_quality_rules, op10_url_filter)}
 
 _HOST = "lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'))"
 _PATH = "regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
