@@ -22,15 +22,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not now.isEmpty():
         least, least_path = staged(now.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         if labels is None:
+            done = []
             labels, labels_path = least.select(F.col("u").alias("node"), F.col("m").alias("component")), least_path
         else:
             moved = labels.join(least, labels.component == least.u, "left").select("node", F.coalesce("m", "component").alias("component"))
-            old, (labels, labels_path) = labels_path, staged(moved, "labels")
-            discard(spark, old, least_path)
+            done = [labels_path, least_path]
+            labels, labels_path = staged(moved, "labels")
         to = least.select(F.col("u").alias("v"), F.col("m").alias("mv"))
         moved = now.join(least, "u").join(to, "v").select(F.col("m").alias("u"), F.col("mv").alias("v")).where("u <> v").distinct()
-        old, (now, path) = path, staged(moved, "edges")
-        discard(spark, old)
+        done.append(path)
+        now, path = staged(moved, "edges")
+        discard(spark, *done)
     if labels is None:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels
