@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakit.llm import jaccard, langid, quality, urls, warc
+from stratakit.llm import hnsw, jaccard, langid, packing, quality, tokenfile, urls, warc
 from stratakit.llm.common import read_table
 from stratakit.session import ship
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return tokenfile.token_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return jaccard.join_components(read_table(spark, sf_dir, "documents"))
@@ -20,6 +25,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return hnsw.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return warc.round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
@@ -35,7 +50,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.label_listed(F.col("key"))).drop("in_list")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op4_language_id, op7_warc, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_jaccard, op4_language_id, op5_embedding_neardup, op6_packing, op7_warc, op9_quality_rules, op10_url_filter)}
 
 _HOST = "lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'))"
 _PATH = "regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
