@@ -59,11 +59,11 @@ def _among(words: str, names: tuple[str, ...]) -> Column:
 
 def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """Counts of the base rules, base_failed and both histograms, one row per document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(*keep, text.alias("text")).withColumns({"n_chars_": F.length("text"), "words": F.array_remove(F.split("text", SPACE), ""), "left0": F.regexp_replace("text", CLASSES[0][1], "")})
+    df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("body_"))
+    df = df.withColumns({"n_chars_": F.length("body_"), "words": F.array_remove(F.split("body_", SPACE), ""), "left0": F.regexp_replace("body_", CLASSES[0][1], "")})
     # every heavy column is named twice below, which keeps the optimizer from pasting it into a lambda
     common = sorted(set(sum(COMMON.values(), ())))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split("body_", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
         *keep, "n_chars_", "left0", F.size("words").cast("long").alias("n_words"), lines.alias("lines"),
         F.filter("words", lambda w: w.isin(common)).alias("common"),
@@ -95,8 +95,8 @@ def references(measured: DataFrame, label: str = "lang", min_share: float = 0.00
     """Mean histograms by language, a list of at most 1 / min_share entries."""
     used = measured.where(~F.col("base_failed") & F.col(label).isNotNull())
     sums = used.groupBy(label).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in CLASS_BINS + WORD_BINS])
-    total = used.agg(F.count("*").alias("total"))
-    rows = sums.crossJoin(total).where(F.col("n") >= min_share * F.col("total")).orderBy(label).collect()
+    total = used.count()
+    rows = sums.where(F.col("n") >= min_share * total).orderBy(label).collect()
     share = lambda row, names: [row[c] / max(1, sum(row[x] for x in names)) for c in names]
     return [{"classes": share(r, CLASS_BINS), "words": share(r, WORD_BINS)} for r in rows]
 

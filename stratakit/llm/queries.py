@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakit.llm import hnsw, jaccard, langid, packing, quality, tokenfile, urls, warc
+from stratakit.llm import hnsw, jaccard, langid, lines, packing, pieces, quality, tokenfile, urls, warc
 from stratakit.llm.common import read_table
 from stratakit.session import ship
 
@@ -20,6 +20,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pieces.piece_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return langid.predict_documents(read_table(spark, sf_dir, "documents"))
@@ -40,6 +45,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_columns(quality.judge(read_table(spark, sf_dir, "documents")))
 
@@ -50,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.label_listed(F.col("key"))).drop("in_list")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_jaccard, op4_language_id, op5_embedding_neardup, op6_packing, op7_warc, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_jaccard, op3_sentencepiece, op4_language_id, op5_embedding_neardup, op6_packing, op7_warc, op8_line_dedup, op9_quality_rules, op10_url_filter)}
 
 _HOST = "lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'))"
 _PATH = "regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
@@ -63,6 +72,7 @@ def _rule(suffix: str, prefix: str) -> str:
 _LISTED = "list_has_any(string_split(host, '.'), [" + ", ".join(f"'{x}'" for x in urls.LISTED_LABELS) + "])"
 
 ORACLE_SQL = {
+    "op8_line_dedup": lines.ORACLE_SQL,
     "op10_url_filter": f"""
         with parts as (select page_id, coalesce({_HOST}, '') host, coalesce({_PATH}, '') path from pages)
         select page_id, host, path,
