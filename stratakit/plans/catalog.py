@@ -1,11 +1,290 @@
-"""Registered queries of the profiler and their SQL twins."""
+"""Registered queries of the profiler and their SQL twins, over the whole of every table they read."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratakit.functions import exprs as X
+from stratakit.operators import extract, profile, rollup, samsort, taxonomy
+from stratakit.operators.rollup import Cutoffs
+from stratakit.plans import adapters, oracles
+from stratakit.sources import sam
+from stratakit.sources.tables import last_wins
+from stratakit.sources.taxonomy import lineage_nodes, overlay
+
+#: Match factor and cutoffs of the registered queries.
+MATCH_FACTOR = 0.05
+CUTOFFS = Cutoffs(min_cov=0.3, min_reads=150, min_len=9000, max_zscore=1.0, ani_species=0.93, ani_strain=0.935)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "rank_report"
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _parsed(spark, d, match_factor=MATCH_FACTOR, exclude=True) -> DataFrame:
+    return sam.parse_sam(adapters.lines(spark, d), match_factor, adapters.view(spark, d, adapters.EXCLUDED_SQL) if exclude else None)
+
+
+def _counted(spark, d) -> DataFrame:
+    return sam.counted(_parsed(spark, d))
+
+
+def _strains(spark, d) -> DataFrame:
+    return profile.strains(profile.fragments(_counted(spark, d)), adapters.view(spark, d, adapters.STATS_SQL))
+
+
+def _walk(spark, d) -> DataFrame:
+    return taxonomy.walk(adapters.view(spark, d, adapters.IDS_SQL), adapters.nodes(spark, d), adapters.view(spark, d, adapters.MERGED_SQL))
+
+
+def _report(spark, d) -> DataFrame:
+    strains = _strains(spark, d)
+    lineages = taxonomy.major_lineage(taxonomy.walk(strains.select(F.col("taxid").alias("query")), adapters.nodes(spark, d))).select(F.col("query").alias("taxid"), "lineage")
+    return rollup.report(strains.join(lineages, "taxid"), CUTOFFS)
+
+
+def _lower(full: DataFrame, columns) -> DataFrame:
+    """Ratios with many digits are rounded, as two engines may differ in the last."""
+    kinds = dict(full.dtypes)
+    return full.select(*[(F.round(F.col(c), 9) if kinds[c] == "double" else F.col(c)).alias(c.lower()) for c in columns])
+
+
+@query
+def sam_parse(spark, d):
+    return _parsed(spark, d).select("line_no", "qname", "flag", "rname", "pos", "cigar", "as_score", "nm", "mapped_len", "ins_len", "del_len", "read_len", "region_start", "region_end", "acc", "rstart", "rend", "taxid", "is_primary", "valid_match", "valid_acc")
+
+
+@query
+def alignment_counters(spark, d):
+    return sam.counters(_parsed(spark, d))
+
+
+@query
+def match_filter(spark, d):
+    rows = _parsed(spark, d, 0.06, False).where("is_primary and valid_match")
+    return rows.select("line_no", "rname", F.round(X.match_identity(F.col("mapped_len"), F.col("rend") - F.col("rstart") + 1, F.col("read_len")), 9).alias("identity"))
+
+
+@query
+def excluded_anti(spark, d):
+    return _parsed(spark, d).where("valid_acc").groupBy("acc").agg(F.count("*").alias("lines"))
+
+
+@query
+def best_hit(spark, d):
+    return profile.best_hits(_parsed(spark, d, 0.0, False)).select("qkey", "line_no", "as_score", "rname")
+
+
+@query
+def region_merge(spark, d):
+    return profile.merged_regions(_counted(spark, d)).select("rname", "start", "end")
+
+
+@query
+def covered_length(spark, d):
+    return profile.fragments(_counted(spark, d)).select("rname", "sc")
+
+
+@query
+def fragment_agg(spark, d):
+    return profile.fragments(_counted(spark, d))
+
+
+@query
+def strain_agg(spark, d):
+    rows = _strains(spark, d).drop("ani_naive", "ani_ci95", "ani_low", "ani_high", "sig_cov", "genome_count")
+    return rows.withColumns({c: F.round(c, 9) for c in ("best_sig_cov", "depth", "zscore", "genomic_content_est")})
+
+
+@query
+def zscore(spark, d):
+    return _strains(spark, d).select("taxid", F.round("zscore", 9).alias("zscore"))
+
+
+@query
+def ani_interval(spark, d):
+    text = F.concat(F.lit("["), X.py_float(F.col("ani_low")), F.lit("-"), X.py_float(F.col("ani_high")), F.lit("]"))
+    return _strains(spark, d).select("taxid", "ani_naive", "ani_ci95", text.alias("ani_ci95_lh"))
+
+
+@query
+def rank_report(spark, d):
+    return _lower(_report(spark, d), rollup.REPORT)
+
+
+@query
+def summary_report(spark, d):
+    return _lower(rollup.qualified(_report(spark, d)), rollup.SUMMARY)
+
+
+@query
+def rank_rollup(spark, d):
+    return _lower(_report(spark, d), ("LEVEL", "NAME", "TAXID", "READ_COUNT", "TOTAL_BP_MAPPED", "COVERED_SIG_LEN", "GENOME_COUNT", "GENOME_SIZE"))
+
+
+@query
+def relative_abundance(spark, d):
+    return _lower(_report(spark, d), ("LEVEL", "NAME", "REL_ABUNDANCE", "REL_ABUNDANCE_DEPTH", "REL_ABUNDANCE_GC"))
+
+
+@query
+def filter_notes(spark, d):
+    return _lower(_report(spark, d), ("LEVEL", "NAME", "NOTE"))
+
+
+@query
+def lineage_table(spark, d):
+    """Qualified strains with abundance and the names of their lineage."""
+    names = taxonomy.major_lineage(_walk(spark, d)).select(F.col("query").alias("TAXID"), F.array_join(F.transform("lineage", lambda x: x["name"]), "\t").alias("names"))
+    rows = rollup.qualified(_report(spark, d)).where("LEVEL = 'strain'").join(names, "TAXID")
+    return rows.select(F.col("TAXID").alias("taxid"), F.round("ABUNDANCE", 6).alias("abundance"), "names")
+
+
+@query
+def taxon_lookup(spark, d):
+    """Rank, name, depth, parents, type and nearest major ancestor of every id."""
+    w = _walk(spark, d)
+    return w.select(
+        "query", taxonomy.rank().alias("rank"), taxonomy.rank(False).alias("rank_as_is"), taxonomy.name().alias("name"), taxonomy.depth().cast("int").alias("depth"), taxonomy.parent().alias("parent"),
+        taxonomy.parent(True).alias("parent_any"), taxonomy.taxon_type().alias("taxon_type"), taxonomy.nearest_major().alias("nearest_major"), "is_leaf",
+    )
+
+
+@query
+def taxon_on_rank(spark, d):
+    w = _walk(spark, d)
+    return w.select("query", *[f(r).alias(f"{r}_{n}") for r in ("phylum", "order", "species", "strain") for n, f in (("name", taxonomy.name_on_rank), ("taxid", taxonomy.taxid_on_rank))])
+
+
+@query
+def full_lineage(spark, d):
+    return _walk(spark, d).select("query", taxonomy.full_lineage().alias("lineage"), taxonomy.full_lineage(";", True, False).alias("lineage_abbr"))
+
+
+@query
+def lineage_links(spark, d):
+    w = _walk(spark, d)
+    return w.select("query", F.explode(taxonomy.link_map()).alias("parent", "child"))
+
+
+@query
+def major_lineage(spark, d):
+    """Major ranks with placeholders for missing ones."""
+    return taxonomy.major_lineage(_walk(spark, d)).select("query", taxonomy.lineage_text("|", True).alias("lineage"), taxonomy.lineage_text(";").alias("lineage_abbr"))
+
+
+@query
+def lowest_common_ancestor(spark, d):
+    """Of the strains that each read's lines hit."""
+    rows = _parsed(spark, d, 0.0, False).select("qname", "taxid").distinct()
+    lineages = taxonomy.major_lineage(taxonomy.walk(rows.select(F.col("taxid").alias("query")).distinct(), adapters.nodes(spark, d))).select(F.col("query").alias("taxid"), "lineage")
+    return taxonomy.lca(rows.join(lineages, "taxid"), "qname")
+
+
+@query
+def descendants(spark, d):
+    nodes = adapters.nodes(spark, d)
+    return taxonomy.descendants(nodes.where("rank in ('superkingdom', 'class')").select(F.col("tid").alias("query")), nodes, "species")
+
+
+@query
+def children(spark, d):
+    nodes = adapters.nodes(spark, d)
+    return taxonomy.descendants(nodes.select(F.col("tid").alias("query")), nodes)
+
+
+@query
+def child_counts(spark, d):
+    return taxonomy.child_counts(adapters.nodes(spark, d))
+
+
+@query
+def merged_overlay(spark, d):
+    """Two layers of nodes, the later one winning."""
+    nodes = adapters.nodes(spark, d)
+    newer = nodes.where("rank in ('genus', 'phylum')").withColumn("name", F.concat("name", F.lit(" (custom)")))
+    return overlay(nodes, newer)
+
+
+@query
+def lineage_loader(spark, d):
+    """Nodes from lineage text with empty levels."""
+    rows = adapters.view(spark, d, oracles.LINEAGE_SQL)
+    return lineage_nodes(rows.select("lineage")).select("tid", "parent", "rank", "name")
+
+
+@query
+def acc2taxid(spark, d):
+    return taxonomy.acc2taxid(adapters.view(spark, d, oracles.ACC_SQL), adapters.view(spark, d, oracles.ACC_TABLE_SQL))
+
+
+@query
+def name_lookup(spark, d):
+    """Names that contain a nation's key text, the first three of each."""
+    asked = adapters.view(spark, d, "select concat('NATION_', cast(n_nationkey as string)) as query from nation")
+    return taxonomy.names_like(asked, adapters.nodes(spark, d)).select("query", "tid", "name", "rn")
+
+
+@query
+def name_fuzzy(spark, d):
+    return taxonomy.names_fuzzy(["realm AFRCA", "genus NATION_1", "species 300505"], adapters.nodes(spark, d), 0.8)
+
+
+@query
+def extract_reads(spark, d):
+    """FASTA records of at most 20 reads of each taxon that is not filtered out."""
+    reads = _extracted(spark, d)
+    return reads.select("line_no", "tax", extract.record("fasta").alias("record"))
+
+
+@query
+def extract_reads_fastq(spark, d):
+    reads = _extracted(spark, d)
+    return reads.select("line_no", "tax", extract.record("fastq").alias("record"))
+
+
+def _extracted(spark, d):
+    counted = _counted(spark, d)
+    ids = counted.select(F.col("taxid").alias("query")).distinct()
+    anc = extract.closure(taxonomy.walk(ids, adapters.nodes(spark, d)))
+    return extract.reads_by_taxon(counted, extract.taxa_of(_report(spark, d), None), anc, 20)
+
+
+@query
+def text_search(spark, d):
+    return extract.text_search(adapters.lines(spark, d), [r"\|101\b", r"\|10[35]\b"])
+
+
+@query
+def reverse_complement(spark, d):
+    rows = _parsed(spark, d, 0.0, False)
+    return rows.select("line_no", X.revcomp(F.col("seq")).alias("revcomp"), F.reverse("qual").alias("qual_reversed"), X.mate_suffix(F.col("flag")).alias("mate"), X.mate_key(F.col("qname"), F.col("flag")).alias("qkey"))
+
+
+@query
+def distinct_refs(spark, d):
+    return samsort.references(adapters.lines(spark, d))
+
+
+@query
+def coordinate_sort(spark, d):
+    """Each line's place in coordinate order, within its reference."""
+    from pyspark.sql import Window
+
+    rows = samsort.coordinate_sorted(adapters.lines(spark, d))
+    return rows.select("line_no", F.row_number().over(Window.partitionBy("rname").orderBy("pos", "line_no")).alias("place"))
+
+
+@query
+def last_row_wins(spark, d):
+    rows = adapters.view(spark, d, "select cast(o_custkey as string) as tid, o_orderkey as seq, o_orderpriority as name from orders")
+    return last_wins(rows, "tid", "seq")
+
+
+ORACLE_SQL = oracles.build(MATCH_FACTOR, CUTOFFS)

@@ -22,6 +22,14 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return spark
 
 
+def checkpointed(df):
+    """``df`` written to the checkpoint folder, which all executors share; a temporary folder is set where there is none."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratakit-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, so Python workers can import it anywhere."""
     sc = spark.sparkContext
