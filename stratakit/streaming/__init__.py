@@ -1,0 +1 @@
+"""Nothing here yet: the profiler has no streaming operator. Fragment sums merge by addition, covered lengths do not."""
