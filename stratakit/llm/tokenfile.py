@@ -2,13 +2,16 @@
 
 A shard holds consecutive documents in ascending doc_id order as one binary blob::
 
-    magic "STKTOK01" | u32 documents | u64 dictionary hash | i64 doc_id[n] | u64 id offset[n] | u64 frame offset[n + 1] | frames
+    magic "STKTOK02" | u8 bytes an id (2 or 4) | u32 documents | u64 dictionary hash
+    | i64 doc_id[n] | u64 id offset[n] | u64 frame offset[n + 1] | frames
 
-Id offsets count the ids of all documents before (over all shards), frame offsets are bytes from the first frame. A
-short document is read by one lookup in its shard's index and one small frame. The dictionary is trained on serialized
-id arrays of a bounded sample (``sample_docs`` documents of smallest id hash, ``sample_bytes`` of each); frames carry
-no dictionary of their own, so files hold its hash and readers refuse another. Shards and dictionary are written by
-Spark as Parquet rows, so any store Spark writes to will do, and lost tasks are written again.
+Id offsets count the ids of all documents before in the part (the shards of one range of doc_id); the manifest holds
+each part's offset. Frame offsets are bytes from the first frame. A short document is read by one lookup in its
+shard's index and one small frame. The dictionary is trained on serialized id arrays of a bounded sample
+(``sample_docs`` documents of smallest id hash, ``sample_chars`` of each); files hold its hash and readers refuse
+another. Documents are shuffled once, as text, by range of doc_id; ids are made, packed and written where they land.
+Shards, manifest and dictionary are written by Spark as Parquet rows, so any store Spark writes to will do, and lost
+tasks are written again.
 
 Defined cases: null text has no ids but its end id; null doc_id sorts first and is stored as the least long; repeated
 rows are all kept, side by side; an empty table gives an empty file set. Only doc_id and text are read.
@@ -21,67 +24,55 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import discard, staged, work_path
+from stratakit.llm.common import work_path
 from stratakit.llm.tokens import default_path, encoder
 
-MAGIC = b"STKTOK01"
+MAGIC = b"STKTOK02"
+_HEAD = 21
 NULL_ID = -(1 << 63)
+_SHARD_SCHEMA = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("content", pa.binary())])
 
 
-def range_bounds(docs: DataFrame, rows: int = 8192) -> list[int]:
-    """Cut points of doc_id into ranges of about ``rows`` documents: as many numbers as there are ranges, less one."""
-    n = docs.count()
-    parts = max(1, n // rows)
-    if parts == 1:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts).alias("cuts")).first().cuts
-    return sorted({int(x) for x in cuts or []})
-
-
-def tokenized(docs: DataFrame, path: str | None = None, end_id: int | None = 1, bounds: list[int] | None = None) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit ids with ``end_id`` behind), n_tokens, part (range number of doc_id; null is in 0)."""
-    file, tail = path or default_path(), b"" if end_id is None else struct.pack("<I", end_id)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("part", pa.int32())])
-    cuts = np.array(bounds or [], np.int64)
+def train_dictionary(docs: DataFrame, path: str, width: int, sample_docs: int = 1500, sample_chars: int = 8192, size: int = 32 << 10) -> bytes:
+    """Dictionary bytes; empty where the sample is too small to train on."""
+    picked = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_docs)
+    edge = picked.agg(F.max("h").alias("h")).first().h
+    if edge is None:
+        return b""
+    # rows, not ids, are many where ids repeat, so the limit holds for both
+    rows = docs.where(F.xxhash64("doc_id") <= edge).select("doc_id", F.substring("text", 1, sample_chars).alias("text")).orderBy("doc_id", "text").limit(sample_docs)
+    heads = [narrowed(x, width) for x in encoder(path).encode([r.text for r in rows.toLocalIterator()])]
+    try:
+        return zstandard.train_dictionary(size, [h for h in heads if h]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = [x + tail for x in encoder(file).encode(part.column(1).to_pylist())]
-                doc = part.column(0).cast(pa.int64())
-                at = np.searchsorted(cuts, doc.fill_null(NULL_ID).to_numpy(zero_copy_only=False), "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(at)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, part int")
+def narrowed(ids: bytes, width: int) -> bytes:
+    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
-def train_dictionary(ids: DataFrame, sample_docs: int = 1500, sample_bytes: int = 4096, size: int = 32 << 10) -> bytes:
-    """Dictionary bytes; empty where the sample is too small to train on."""
-    picked = ids.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("ids", 1, sample_bytes).alias("head")).orderBy("h", "doc_id").limit(sample_docs)
-    heads = [bytes(r.head) for r in picked.toLocalIterator()]
-    try:
-        return zstandard.train_dictionary(size, heads).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+def id_width(path: str) -> int:
+    return 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
 def dictionary_hash(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw)
 
 
-def pack_shard(doc_ids: list[int], starts: list[int], ids: list[bytes], dictionary: bytes, level: int = 3) -> bytes:
+def pack_shard(doc_ids: list[int], starts: list[int], ids: list[bytes], dictionary: bytes, width: int = 2, level: int = 3) -> bytes:
+    """A shard of id arrays with ``width`` bytes an id."""
     pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_dict_id=False)
     frames = [pack.compress(x) for x in ids]
     at = np.cumsum([0, *map(len, frames)], dtype="<u8")
-    return b"".join([MAGIC, struct.pack("<IQ", len(ids), dictionary_hash(dictionary)), np.array(doc_ids, "<i8").tobytes(), np.array(starts, "<u8").tobytes(), at.tobytes(), *frames])
+    return b"".join([MAGIC, struct.pack("<BIQ", width, len(ids), dictionary_hash(dictionary)), np.array(doc_ids, "<i8").tobytes(), np.array(starts, "<u8").tobytes(), at.tobytes(), *frames])
 
 
 class Shard:
@@ -90,84 +81,92 @@ class Shard:
     def __init__(self, blob: bytes, dictionary: bytes):
         if blob[:8] != MAGIC:
             raise ValueError("not a token-id shard")
-        n, digest = struct.unpack_from("<IQ", blob, 8)
+        self.width, n, digest = struct.unpack_from("<BIQ", blob, 8)
         if digest != dictionary_hash(dictionary):
             raise ValueError("the shard was written with another dictionary")
-        self.doc_ids = np.frombuffer(blob, "<i8", n, 20)
-        self.starts = np.frombuffer(blob, "<u8", n, 20 + 8 * n)
-        self.at = np.frombuffer(blob, "<u8", n + 1, 20 + 16 * n)
-        self.body = memoryview(blob)[20 + 24 * n + 8 :]
+        self.doc_ids = np.frombuffer(blob, "<i8", n, _HEAD)
+        self.starts = np.frombuffer(blob, "<u8", n, _HEAD + 8 * n)
+        self.at = np.frombuffer(blob, "<u8", n + 1, _HEAD + 16 * n)
+        self.body = memoryview(blob)[_HEAD + 24 * n + 8 :]
         self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
     def ids(self, k: int) -> bytes:
-        return self.unpack.decompress(self.body[self.at[k] : self.at[k + 1]])
+        """Little-endian 32-bit ids of the k-th document."""
+        raw = self.unpack.decompress(self.body[self.at[k] : self.at[k + 1]])
+        return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
     def find(self, doc_id: int) -> np.ndarray | None:
         k = int(np.searchsorted(self.doc_ids, doc_id))
         return np.frombuffer(self.ids(k), "<u4") if k < len(self) and self.doc_ids[k] == doc_id else None
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, shard_bytes: int = 8 << 20) -> None:
-    """Write ``path``/shards and ``path``/dictionary. Ids are staged once, brought together by range, and packed in order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, shard_bytes: int = 8 << 20, part_docs: int = 8192) -> None:
+    """Write ``path``/shards, ``path``/manifest and ``path``/dictionary."""
     spark = docs.sparkSession
-    bounds = range_bounds(docs)
-    ids, ids_path = staged(tokenized(docs, tokenizer, end_id, bounds), "ids")
-    dictionary = train_dictionary(ids)
-    # one number per range of some 8192 documents
-    sums = {r.part: r.n for r in ids.groupBy("part").agg(F.sum("n_tokens").alias("n")).toLocalIterator()}
-    before, at = {}, 0
-    for part in sorted(sums):
-        before[part], at = at, at + sums[part]
-
-    def pack(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number, at = None, 0, 0
+    file = tokenizer or default_path()
+    width = id_width(file)
+    tail = end_id.to_bytes(width, "little")
+    dictionary = train_dictionary(docs, file, width)
+    parts = max(1, docs.count() // part_docs)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, at, size = TaskContext.get().partitionId(), 0, 0, 0
         held: tuple[list, list, list] = ([], [], [])
-        size = 0
+        tokens = 0
 
         def shard():
-            blob = pack_shard(*held, dictionary)
-            return pd.DataFrame({"part": [part], "shard": [number], "first_doc": [held[0][0]], "last_doc": [held[0][-1]], "n_docs": [len(held[0])], "content": [blob]})
+            blob = pack_shard(*held, dictionary, width)
+            return pa.RecordBatch.from_pydict({"part": [part], "shard": [number], "first_doc": [held[0][0]], "last_doc": [held[0][-1]], "n_docs": [len(held[0])], "n_tokens": [tokens], "content": [blob]}, _SHARD_SCHEMA)
 
-        for pdf in pdfs:
-            for doc, ids, n, p in zip(pdf.doc_id, pdf.ids, pdf.n_tokens, pdf.part, strict=True):
-                if p != part or size > shard_bytes:
-                    if held[0]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                for doc, ids in zip(some.column(0).to_pylist(), encoder(file).encode(some.column(1).to_pylist()), strict=True):
+                    if size > shard_bytes:
                         yield shard()
-                        number += 1
-                    if p != part:
-                        part, number, at = p, 0, before[p]
-                    held, size = ([], [], []), 0
-                held[0].append(int(doc))
-                held[1].append(at)
-                held[2].append(bytes(ids))
-                at += n
-                size += len(ids)
+                        number, tokens, size = number + 1, 0, 0
+                        held = ([], [], [])
+                    ids = narrowed(ids, width) + tail
+                    held[0].append(NULL_ID if doc is None else doc)
+                    held[1].append(at)
+                    held[2].append(ids)
+                    at += len(ids) // width
+                    tokens += len(ids) // width
+                    size += len(ids)
         if held[0]:
             yield shard()
 
-    rows = ids.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id")
-    rows.mapInPandas(pack, "part int, shard int, first_doc long, last_doc long, n_docs int, content binary").write.parquet(f"{path}/shards")
+    # ranges in order: partition numbers are part numbers, and equal ids share a partition
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    rows.mapInArrow(pack, "part int, shard int, first_doc long, last_doc long, n_docs int, n_tokens long, content binary").write.option("compression", "uncompressed").parquet(f"{path}/shards")
+    # one number per range of some ``part_docs`` documents
+    sums = spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toLocalIterator()
+    base, at = [], 0
+    for r in sums:
+        base.append((r.part, at))
+        at += r.n
+    spark.createDataFrame(base, "part int, base long").coalesce(1).write.parquet(f"{path}/manifest")
     spark.createDataFrame([(bytearray(dictionary), f"{dictionary_hash(dictionary):016x}")], "dictionary binary, hash string").coalesce(1).write.parquet(f"{path}/dictionary")
-    discard(spark, ids_path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of every document, from the files."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
+    base = {r.part: r.base for r in spark.read.parquet(f"{path}/manifest").toLocalIterator()}
 
     def run(batches):
         for batch in batches:
-            for blob in batch.column(0):
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(blob.as_py(), dictionary)
                 for lo in range(0, len(shard), 1000):
                     ids = [shard.ids(k) for k in range(lo, min(lo + 1000, len(shard)))]
                     doc = pa.array([None if d == NULL_ID else d for d in shard.doc_ids[lo : lo + 1000].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(shard.starts[lo : lo + 1000].astype(np.int64)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(shard.starts[lo : lo + 1000].astype(np.int64) + base[part]), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.parquet(f"{path}/shards").select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.parquet(f"{path}/shards").select("part", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
