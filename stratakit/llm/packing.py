@@ -167,8 +167,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             windows.setdefault((part, slot), []).append((None if pd.isna(doc) else int(doc), int(start), bytes(ids), int(total)))
         group = int(pdf.group.iloc[0])
         rows = [r for k, w in enumerate(merge(list(windows.values()), window, cut)) for r in _rows(w, 1 << 62 | group << 32 | k, 0, 0, False)]
-        out = pd.DataFrame(rows, columns=_NAMES)[_NAMES[:7]]
-        return out.astype({"doc_id": "Int64"})
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
+        return pd.DataFrame({n: pd.array(list(c), "Int64") for n, c in zip(_NAMES[:7], cols, strict=False)})
 
     # doc_id travels as text: a long column with nulls would lose digits in pandas
     left = first.where("slot >= 0").withColumns({"group": F.floor(F.col("part") / merge_parts).cast("int"), "doc_id": F.col("doc_id").cast("string")})

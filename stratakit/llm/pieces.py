@@ -7,6 +7,9 @@ library's threads. No piece holds the marker behind another character, so a text
 blank-separated chunks (and of its line feeds, where no piece holds one); each distinct chunk is encoded once per
 worker. Whether that holds is read from the vocabulary, and whole texts are encoded where it does not.
 
+A unigram text that spells the name of a control or byte piece (``<s>``, ``<0x0A>``) is encoded by the sentencepiece
+library itself, because the tokenizers lattice would take it for that piece.
+
 ``PieceCodec.verify`` compares ids and decoded texts with the sentencepiece library; the codec does so on sample
 strings when it is built on a worker and raises on a difference.
 
@@ -108,7 +111,7 @@ class ModelFile:
         out = Tokenizer(model)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.fold_spaces:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         if self.dummy_prefix:
             steps.append(normalizers.Prepend(MARK if self.escape else " "))
         if self.escape:
@@ -126,18 +129,28 @@ class PieceCodec:
         self.whole = self.file.tokenizer()
         usable = [t for t, _, kind in self.file.pieces if kind in (NORMAL, USER)]
         f = self.file
-        self.cuts = f.escape and not f.charsmap and not f.fold_spaces and not any(MARK in t.lstrip(MARK) for t in usable)
+        self.cuts = f.escape and not f.charsmap and not f.fold_spaces and not f.unigram and not any(MARK in t.lstrip(MARK) for t in usable)
         feeds = any("\n" in t for t in usable)
         self.pattern = re.compile(r" *[^ ]+| +" if feeds else r"\n| *[^ \n]+| +")
         self.part = Tokenizer(self.whole.model)
         self.part.normalizer = normalizers.Replace(" ", MARK)
         self.ids: dict[str, bytes] = {}
+        # the library's unigram lattice would match the names of control and byte pieces in a text
+        names = [t for t, _, kind in f.pieces if kind in (CONTROL, UNKNOWN, BYTE)] if f.unigram else []
+        self.named = re.compile("|".join(map(re.escape, names))) if names else None
         self.verify(_SAMPLE)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         texts = [t or "" for t in texts]
         if not self.cuts:
+            odd = [k for k, t in enumerate(texts) if self.named and self.named.search(t)]
+            if odd:
+                theirs = sentencepiece.SentencePieceProcessor(model_file=self.path)
+                plain = self.encode(["" if k in set(odd) else t for k, t in enumerate(texts)])
+                for k in odd:
+                    plain[k] = array("I", theirs.encode(texts[k])).tobytes()
+                return plain
             return [array("I", e.ids).tobytes() if t else b"" for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
         prefix, out = " " if self.file.dummy_prefix else "", []
         chunks = [self.pattern.findall(prefix + t) if t else [] for t in texts]

@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -156,8 +155,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     yield table(batch)
 
     def table(batch):
-        out = pd.DataFrame(batch)[names]
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        # ids as nullable integers from the start: by way of doubles they would lose digits
+        return pd.DataFrame({n: pd.array([r[n] for r in batch], "Int64") if n in ("page_id", "refers_to") else [r[n] for r in batch] for n in names})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
 
@@ -168,7 +167,3 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     write_archives(pages, path, min_bytes)
     return read_archives(pages.sparkSession, path)
 
-
-def unpack_header(member_bytes: bytes) -> int:
-    """Length field of a gzip member, modulo 2^32."""
-    return struct.unpack("<I", member_bytes[-4:])[0]
