@@ -11,6 +11,7 @@ from stratakit.functions import exprs as X
 from stratakit.operators import extract, profile, rollup, samsort, taxonomy
 from stratakit.operators.rollup import Cutoffs
 from stratakit.plans import adapters, oracles
+from stratakit.session import checkpointed
 from stratakit.sources import sam
 from stratakit.sources.tables import last_wins
 from stratakit.sources.taxonomy import lineage_nodes, overlay
@@ -44,7 +45,8 @@ def _walk(spark, d) -> DataFrame:
 
 
 def _report(spark, d) -> DataFrame:
-    strains = _strains(spark, d)
+    # a row per strain, read three times: by the walk, the roll-up and the total
+    strains = checkpointed(_strains(spark, d))
     lineages = taxonomy.major_lineage(taxonomy.walk(strains.select(F.col("taxid").alias("query")), adapters.nodes(spark, d))).select(F.col("query").alias("taxid"), "lineage")
     return rollup.report(strains.join(lineages, "taxid"), CUTOFFS)
 
@@ -52,7 +54,8 @@ def _report(spark, d) -> DataFrame:
 def _lower(full: DataFrame, columns) -> DataFrame:
     """Ratios with many digits are rounded, as two engines may differ in the last."""
     kinds = dict(full.dtypes)
-    return full.select(*[(F.round(F.col(c), 9) if kinds[c] == "double" else F.col(c)).alias(c.lower()) for c in columns])
+    digits = lambda c: 3 if c == "GENOMIC_CONTENT_EST" else 9  # noqa: E731  a number in the millions
+    return full.select(*[(F.round(F.col(c), digits(c)) if kinds[c] == "double" else F.col(c)).alias(c.lower()) for c in columns])
 
 
 @query
@@ -99,7 +102,7 @@ def fragment_agg(spark, d):
 @query
 def strain_agg(spark, d):
     rows = _strains(spark, d).drop("ani_naive", "ani_ci95", "ani_low", "ani_high", "sig_cov", "genome_count")
-    return rows.withColumns({c: F.round(c, 9) for c in ("best_sig_cov", "depth", "zscore", "genomic_content_est")})
+    return rows.withColumns({c: F.round(c, 3 if c == "genomic_content_est" else 9) for c in ("best_sig_cov", "depth", "zscore", "genomic_content_est")})
 
 
 @query

@@ -121,10 +121,10 @@ def build(match_factor: float, cut) -> dict[str, str]:
                         case sig_no {" ".join(f"when {k} then '{r}'" for k, r in enumerate(_RANKS, 1))} end as sig_level, genome_count, genome_size, {note} as note from rj)"""
     columns = ("level", "name", "taxid", "read_count", "total_bp_mapped", "ani_ci95", "covered_sig_len", "best_sig_cov", "depth", "rel_abundance", "parent_name", "parent_taxid", "total_read_len", "read_idt", "total_bp_mismatch", "total_bp_indel", "ani_naive", "ani_ci95_lh", "sig_cov", "mapped_sig_len", "total_sig_len", "covered_sig_depth", "covered_mapped_sig_cov", "zscore", "genomic_content_est", "abundance", "rel_abundance_depth", "rel_abundance_gc", "sig_level", "genome_count", "genome_size", "note")
     doubles = {"ani_ci95", "best_sig_cov", "depth", "rel_abundance", "read_idt", "ani_naive", "sig_cov", "covered_sig_depth", "covered_mapped_sig_cov", "zscore", "genomic_content_est", "abundance", "rel_abundance_depth", "rel_abundance_gc"}
-    pick = lambda names: ", ".join(f"round({c}, 9) as {c}" if c in doubles else c for c in names)
+    pick = lambda names: ", ".join(f"round({c}, {3 if c == 'genomic_content_est' else 9}) as {c}" if c in doubles else c for c in names)
     shown = "where note not like '%Filtered out%' and note not like '%Not shown%'"
     codes, pairs = "ACGTUNRYSWKMBDHVacgtunryswkmbdhv", "TGCAANYRSWMKVHDBtgcaanyrswmkvhdb"
-    r6 = lambda *names: ", ".join(f"round({c}, 9) as {c}" for c in names)
+    r6 = lambda *names: ", ".join(f"round({c}, {3 if c == 'genomic_content_est' else 9}) as {c}" for c in names)
     fix = "regexp_replace(name, ' ', '_', 'g')"
     head = "qname || case when flag & 64 > 0 then '.1' when flag & 128 > 0 then '.2' else '' end || '|' || rname || ':' || region_start || '..' || region_end || ' LEVEL=' || level || ' NAME=' || tax_name || ' TAXID=' || tax"
     oseq = f"case when flag & 16 > 0 then translate(reverse(seq), '{codes}', '{pairs}') else seq end"
