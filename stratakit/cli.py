@@ -1,4 +1,4 @@
-"""Command line: ``python -m stratakit.cli profile|extract|version``."""
+"""Command line: ``python -m stratakit.cli profile|extract|search|sort|version``."""
 
 from __future__ import annotations
 
@@ -15,6 +15,14 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="stratakit")
     sub = top.add_subparsers(dest="command", required=True)
     sub.add_parser("version")
+    search = sub.add_parser("search", help="reads whose line holds one of the taxa")
+    search.add_argument("-s", "--sam", required=True)
+    search.add_argument("-t", "--taxa", required=True, help="comma list, or a file of one id per line")
+    search.add_argument("-o", "--output", required=True, help="prefix of the output folders")
+    order = sub.add_parser("sort", help="header and coordinate order")
+    order.add_argument("-s", "--sam", required=True)
+    order.add_argument("-o", "--output", required=True)
+    order.add_argument("--bam")
     for name in ("profile", "extract"):
         p = sub.add_parser(name)
         source = p.add_mutually_exclusive_group(required=True)
@@ -59,7 +67,23 @@ def main(argv: list[str] | None = None) -> int:
     from stratakit.session import local_session
     from stratakit.sources import tables, taxonomy
 
-    config, spark = config_of(a), local_session()
+    spark = local_session()
+    if a.command in ("search", "sort"):
+        from stratakit.operators import extract
+        from stratakit.sinks import reports
+        from stratakit.sources import sam
+
+        lines = sam.read_sam(spark, a.sam)
+        if a.command == "sort":
+            reports.write_sorted_sam(lines, a.output, a.bam)
+            return 0
+        taxa = [r.acc for r in tables.read_list(spark, a.taxa, comments=False).collect()] if os.path.exists(a.taxa) else [x.strip() for x in a.taxa.split(",") if x.strip()]
+        found = extract.text_search(lines, [extract.literal(t) for t in taxa])
+        reports.write_text(extract.search_records(found), f"{a.output}.fasta", compress=True)
+        reports.write_text(extract.search_records(found, table=True), f"{a.output}.tsv")
+        print(f"{found.count()} reads")
+        return 0
+    config = config_of(a)
     nodes, merged = taxonomy.read_dump(spark, a.taxonomy) if os.path.isdir(a.taxonomy) else (taxonomy.read_tsv(spark, a.taxonomy), None)
     done = pipeline.run_profile(spark, config, nodes, a.outdir, merged, tables.read_list(spark, a.exclude) if a.exclude else None)
     print(json.dumps(done["counters"]))

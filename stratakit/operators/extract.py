@@ -89,7 +89,13 @@ def text_search(lines: DataFrame, taxa: list[str]) -> DataFrame:
     """Lines of 11 fields or more that hold one of the patterns anywhere, with their read as columns."""
     f = F.split("value", "\t")
     hit = F.col("value").rlike("(" + "|".join(taxa) + ")")
-    return lines.where(hit & ~F.col("value").startswith("@") & (F.size(f) >= 11)).select("line_no", f[0].alias("qname"), f[1].alias("flag"), f[2].alias("rname"), f[9].alias("seq"), f[10].alias("qual"))
+    return lines.where(hit & ~F.col("value").startswith("@") & (F.size(f) >= 11)).select("line_no", f[0].alias("qname"), f[1].alias("flag"), f[2].alias("rname"), f[5].alias("cigar"), f[9].alias("seq"), f[10].alias("qual"))
+
+
+def search_records(found: DataFrame, table: bool = False) -> DataFrame:
+    """Found reads as two-line records, or as rows of a table, in line order."""
+    head = F.concat(F.lit("@"), "qname", F.lit(" "), "rname", F.lit(" "), "cigar")
+    return found.orderBy("line_no").select(F.concat(head, F.lit("\t" if table else "\n"), "seq").alias("value"))
 
 
 def literal(taxon: str) -> str:

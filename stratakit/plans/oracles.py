@@ -182,7 +182,7 @@ def build(match_factor: float, cut) -> dict[str, str]:
         "name_lookup": f"with nodes as ({A.NODES_SQL}), w as (select 'NATION_' || n_nationkey as query from nation) select query, tid, name, row_number() over (partition by query order by length(tid), tid)::int as rn from w join nodes on contains(name, query) qualify rn <= 3",
         "extract_reads": f"{with_}{reads} select line_no, tax, '>' || {head} || chr(10) || {oseq} as record from hits where rn <= 20",
         "extract_reads_fastq": f"{with_}{reads} select line_no, tax, '@' || {head} || chr(10) || {oseq} || chr(10) || '+' || chr(10) || {oqual} as record from hits where rn <= 20",
-        "text_search": f"with raw as ({A.SAM_SQL}), f as (select line_no, value, string_split(value, chr(9)) as f from raw) select line_no, f[1] as qname, f[2] as flag, f[3] as rname, f[10] as seq, f[11] as qual from f where regexp_matches(value, '(\\|101\\b|\\|10[35]\\b)')",
+        "text_search": f"with raw as ({A.SAM_SQL}), f as (select line_no, value, string_split(value, chr(9)) as f from raw) select line_no, f[1] as qname, f[2] as flag, f[3] as rname, f[6] as cigar, f[10] as seq, f[11] as qual from f where regexp_matches(value, '(\\|101\\b|\\|10[35]\\b)')",
         "reverse_complement": f"{with_}{alignments(0)} select line_no, translate(reverse(seq), '{codes}', '{pairs}') as revcomp, reverse(qual) as qual_reversed, case when flag & 64 > 0 then '.1' when flag & 128 > 0 then '.2' else '' end as mate, case when flag & 128 > 0 then qname || '/2' else qname end as qkey from aln",
         "distinct_refs": f"with raw as ({A.SAM_SQL}), n as (select distinct string_split(value, chr(9))[3] as rname from raw) select rname, try_cast(string_split(rname, '|')[3] as bigint) - try_cast(string_split(rname, '|')[2] as bigint) + 1 as length from n",
         "coordinate_sort": f"with raw as ({A.SAM_SQL}) select line_no, row_number() over (partition by string_split(value, chr(9))[3] order by cast(string_split(value, chr(9))[4] as bigint), line_no)::int as place from raw",

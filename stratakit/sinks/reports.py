@@ -68,3 +68,25 @@ def write_text(records: DataFrame, path: str, compress: bool = False) -> None:
     """A folder of text files in the frame's order."""
     out = records.select("value").write
     (out.option("compression", "gzip") if compress else out).text(path)
+
+
+def write_sorted_sam(lines: DataFrame, path: str, bam: str | None = None) -> None:
+    """Header and coordinate-sorted lines in one local file; a BAM file and its index too if samtools is installed.
+
+    ``lines``: value, line_no. Rows are written one by one, so the driver holds no more than a partition.
+    """
+    import shutil
+    import subprocess
+
+    from stratakit.operators import samsort
+
+    with open(path, "w", encoding="utf-8") as f:
+        for r in samsort.header(samsort.references(lines).where("length is not null")).orderBy("rname").toLocalIterator():
+            f.write(r.value + "\n")
+        for r in samsort.coordinate_sorted(lines).select("value").toLocalIterator():
+            f.write(r.value + "\n")
+    if bam:
+        if shutil.which("samtools") is None:
+            raise RuntimeError("BAM files need samtools on the path")
+        subprocess.run(["samtools", "view", "-b", "-o", bam, path], check=True)
+        subprocess.run(["samtools", "index", bam], check=True)

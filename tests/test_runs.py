@@ -112,3 +112,14 @@ def test_search_and_headers(spark):
     assert samsort.header(refs).where("value like '@HD%'").count() == 1
     order = [r.rname for r in samsort.coordinate_sorted(rows).collect()]
     assert order == [None, "ABC|1|100|12345", "ABC|1|100|12345", "DEF|1|100|54321|", "XYZ|1|100|67890"]
+
+
+def test_search_and_sort_commands(inputs):
+    assert cli.main(["search", "-s", str(inputs / "reads.sam"), "-t", "12345,nothing", "-o", str(inputs / "found")]) == 0
+    rows = "".join(p.read_text() for p in sorted((inputs / "found.tsv").glob("part*"))).splitlines()
+    assert rows == [f"@read{k} ABC|1|100|12345 5S10M3S\tGGGGGCCCCCCCCCGGG" for k in (0, 1)]
+    packed = "".join(gzip.decompress(p.read_bytes()).decode() for p in sorted((inputs / "found.fasta").glob("part*.gz")))
+    assert packed.count("@read") == 2
+    assert cli.main(["sort", "-s", str(inputs / "reads.sam"), "-o", str(inputs / "sorted.sam")]) == 0
+    out = (inputs / "sorted.sam").read_text().splitlines()
+    assert out[0].startswith("@HD") and sum(x.startswith("@SQ") for x in out) == 3 and len(out) == 4 + 4

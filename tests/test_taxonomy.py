@@ -108,3 +108,25 @@ def test_acc2taxid_and_names(spark, tmp_path):
     assert [r.tid for r in close] == ["562"]
     exact = T.names_like(spark.createDataFrame([("Vibrio",), ("Escherichia",)], "query string"), nodes, expand=False).collect()
     assert [(r.query, r.tid) for r in exact] == [("Vibrio", "5")]
+
+
+def test_fuzzy_query_against_difflib(spark):
+    import difflib
+
+    from stratakit.plans import adapters
+    from stratakit.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    nodes = adapters.nodes(spark, sf).select("tid", "name").collect()
+    want = []
+    for query in ("realm AFRCA", "genus NATION_1", "species 300505"):
+        matcher = difflib.SequenceMatcher()
+        matcher.set_seq2(query)
+        scored = []
+        for r in nodes:
+            matcher.set_seq1(r.name)
+            if (score := matcher.ratio()) >= 0.8:
+                scored.append((-score, r.name, r.tid))
+        want += [(query, t, n, -s) for s, n, t in sorted(scored)[:3]]
+    got = [(r.query, r.tid, r.name, r.score) for r in QUERIES["name_fuzzy"](spark, sf).collect()]
+    assert sorted(got) == sorted(want)
