@@ -19,6 +19,7 @@ rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -26,6 +27,9 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+#: Threads of the tokenizers library in a worker: a task has a core or two, and idle threads of a wide pool spin.
+os.environ.setdefault("RAYON_NUM_THREADS", "2")
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
