@@ -2,10 +2,12 @@
 
 Each text gives two histograms: its characters over eight classes, and its words over the common-word lists of the
 languages plus one bin for all other words. The references are the same histograms summed over every labelled
-document that passes the base rules, one per language that has at least ``min_share`` of those documents (so there
-are at most 1 / min_share of them). A document is rejected when the Jensen-Shannon distance (square root of the
-divergence in bits) to the nearest reference exceeds a limit; texts under the minimum lengths are too short to judge
-by divergence and stay.
+document that passes the base rules, one per language that has at least ``min_docs`` of those documents, whatever its
+share. The ``most`` commonest references are literals that every document is compared with; where there are more, a
+document of another language is also compared with its own, which is joined. A document is rejected when the
+Jensen-Shannon distance (square root of the divergence in bits) to the nearest reference exceeds a limit; texts under
+the minimum lengths are too short to judge by divergence and stay, and so do texts labelled with a language that has
+no reference.
 
 Defined cases: null text counts as empty and fails the base rule (fewer than 20 words); without any reference nothing
 is judged by divergence; repeated rows are judged alike; the label column serves the references only.
@@ -91,14 +93,11 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> Data
     )
 
 
-def references(measured: DataFrame, label: str = "lang", min_share: float = 0.005) -> list[dict[str, list[float]]]:
-    """Mean histograms by language, a list of at most 1 / min_share entries."""
+def references(measured: DataFrame, label: str = "lang", min_docs: int = 10) -> DataFrame:
+    """label, n and the mean histograms ref_classes and ref_words of each language with at least ``min_docs`` documents."""
     used = measured.where(~F.col("base_failed") & F.col(label).isNotNull())
-    sums = used.groupBy(label).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in CLASS_BINS + WORD_BINS])
-    total = used.count()
-    rows = sums.where(F.col("n") >= min_share * total).orderBy(label).collect()
-    share = lambda row, names: [row[c] / max(1, sum(row[x] for x in names)) for c in names]
-    return [{"classes": share(r, CLASS_BINS), "words": share(r, WORD_BINS)} for r in rows]
+    sums = used.groupBy(label).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in CLASS_BINS + WORD_BINS]).where(F.col("n") >= min_docs)
+    return sums.select(label, "n", _shares(CLASS_BINS).alias("ref_classes"), _shares(WORD_BINS).alias("ref_words"))
 
 
 def _plogp(x: Column) -> Column:
@@ -124,12 +123,23 @@ def _shares(names: list[str]) -> Column:
     return F.when(total > 0, F.array(*[F.col(c) / total for c in names])).otherwise(F.array().cast("array<double>"))
 
 
-def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), label: str = "lang", class_limit: float = 0.29, word_limit: float = 0.25, min_chars: int = 250, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), label: str = "lang", class_limit: float = 0.29, word_limit: float = 0.25, min_chars: int = 250, min_words: int = 50, min_docs: int = 10, most: int = 200) -> DataFrame:
     """Base columns, js_classes, js_words (distance to the nearest reference) and kept."""
     measured, _ = staged(measure(docs, keep), "quality")
-    refs = references(measured, label)
+    found = references(measured, label, min_docs)
+    common = found.orderBy(F.desc("n"), label).limit(most + 1).collect()
+    more, common = len(common) > most, common[:most]
     out = measured.withColumns({"p_classes": _shares(CLASS_BINS), "p_words": _shares(WORD_BINS)})
-    out = out.withColumns({"js_classes": nearest_distance("p_classes", [r["classes"] for r in refs]), "js_words": nearest_distance("p_words", [r["words"] for r in refs])})
+    near = {c: nearest_distance(f"p_{c}", [r[f"ref_{c}"] for r in common]) for c in ("classes", "words")}
+    known = F.col(label).isNull() | F.col(label).isin([r[label] for r in common])
+    judged = out.where(known).withColumns({f"js_{c}": d for c, d in near.items()})
+    if more:
+        # languages beyond the commonest: their own reference is one more
+        own = out.where(~known).join(found.drop("n"), label, "left")
+        rest = own.withColumns({f"js_{c}": F.when(F.col(f"ref_{c}").isNull(), 0.0).otherwise(F.least(d, F.sqrt(F.greatest(F.lit(0.0), _divergence(F.col(f"p_{c}"), F.col(f"ref_{c}")))))) for c, d in near.items()})
+        out = judged.unionByName(rest.select(*judged.columns))
+    else:
+        out = out.withColumns({f"js_{c}": F.when(known, d).otherwise(0.0) for c, d in near.items()})
     chars = reduce(lambda a, b: a + b, [F.col(c) for c in CLASS_BINS])
     odd = ((chars >= min_chars) & (F.col("js_classes") > class_limit)) | ((F.col("n_words") >= min_words) & (F.col("js_words") > word_limit))
     return out.withColumn("kept", ~F.col("base_failed") & ~odd)

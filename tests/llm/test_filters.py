@@ -69,6 +69,22 @@ def test_quality_empty_and_unlabelled(spark):
     assert row.kept and row.js_classes == 0
 
 
+def test_quality_rare_languages(spark):
+    """A language of 12 documents among 2,512 has its reference, one of 3 is not judged; symbols are still rejected."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    english = lambda: " ".join(w for _ in range(30) for w in (rng.choice(quality.COMMON["en"]), word("abcdefghij")))
+    foreign = lambda letters: " ".join(word(letters) for _ in range(60))
+    rows = [(english(), "en") for _ in range(2500)] + [(foreign("абвгдежзик"), "ru") for _ in range(12)] + [(foreign("αβγδεζηθικ"), "el") for _ in range(3)] + [(foreign("#*$%&|<>"), "en")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    for options in ({}, {"most": 1}):
+        got = quality.judge(df, **options).collect()
+        assert len(got) == len(rows) and sorted(r.doc_id for r in got if not r.kept) == [len(rows) - 1]
+        assert all(r.js_classes == 0 for r in got if r.lang == "el")
+
+
 def test_native_plans_hold_no_python(spark):
     docs = spark.createDataFrame([(1, "a b c d", "en")], "doc_id long, text string, lang string")
     for df in (quality.judge(docs), lines.dedup_lines(docs)):
