@@ -109,11 +109,54 @@ def test_lines(spark):
     assert got[2] == ("another own text two", 3, 2)  # the template and the long passage, which two documents suffice for
     assert got[3] == ("some third text here", 2, 1)
     assert got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[None][2] == 0
-    assert got[6][2] == got[8][2] == got[9][2] == got[10][2] == 0  # short lines, and a line of two documents, stay
+    assert got[6][2] == got[8][2] == got[9][2] == 0 and got[10] == ("", 1, 1)  # lines under four words stay
     assert got[11][2] == 0 and got[12] == ("", 1, 1) and got[13] == ("", 1, 1)  # one variable field without a digit
     assert lines.dedup_lines(df.where("doc_id > 99")).count() == 0
 
 
+def dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.n_dropped for r in lines.dedup_lines(df).orderBy("doc_id").collect()]
+
+
+NAMES = ("alpha", "beta", "gamma", "delta", "epsilon", "zeta")
+
+
+def test_lines_several_templates_in_a_leaf(spark):
+    one = [f"Copyright holder is {w} and all rights stay reserved here for good" for w in NAMES]
+    two = [f"Copyright holder is {w} and all rights stay reserved here for {w}x" for w in NAMES]
+    other = [f"Copyright holder is what you never think of at all {w} friend" for w in NAMES]
+    stray = "Copyright holder is one that no other line here looks like at"
+    assert all(len(x.split()) == 12 for x in [*one, *two, *other]) and len(stray.split()) == 12
+    assert dropped(spark, one) == dropped(spark, two) == [0, 1, 1, 1, 1, 1]
+    assert dropped(spark, [*one, stray]) == [0, 1, 1, 1, 1, 1, 0]
+    # two templates and a stray line in one leaf, and copies in the other order
+    assert dropped(spark, [*one, stray, *other]) == [0, 1, 1, 1, 1, 1, 0, 0, 1, 1, 1, 1, 1]
+    assert dropped(spark, [stray, *other, *one]) == [0, 0, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1]
+    # four of twelve words differ: no template
+    assert dropped(spark, [f"Copyright holder is {w} and {w}a rights {w}b reserved here for {w}c" for w in NAMES]) == [0] * 6
+
+
+def test_lines_of_a_broken_passage(spark):
+    """A passage of 60 words in lines of six, in two documents."""
+    passage = "\n".join(" ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(6)) for k in range(10))
+    assert dropped(spark, [f"own start of the first\n{passage}", f"quite another start here\n{passage}\nand its own end too"]) == [0, 10]
+
+
+def test_lines_clashing_names_repeats_and_long_texts(spark):
+    long = "\n".join(f"line number x{chr(97 + k % 26)} of {'y' * (k % 40)} in a very long text {k % 7}" for k in range(30_000)) + "\nshared line at the very end"
+    rows = [(1, "shared line at the very end"), (2, long), (3, "shared line at the very end\nown"), (3, "shared line at the very end\nown"), (3, "else entirely"), (4, None)]
+    names = ["lines", "gone", "row", "of", "pos", "line", "first", "drop_keys", "kept_", "lines_", "N_lines", "n_dropped"]
+    df = spark.createDataFrame([(*r, *[f"v{r[0]}"] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = lines.dedup_lines(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    kept = {k: [t for d, t in got if d == k] for k in range(1, 5)}
+    assert kept[1] == [rows[0][1]] and kept[3] == ["else entirely", "own", "own"] and kept[4] == [None]
+    assert kept[2][0] == long.removesuffix("\nshared line at the very end")
+    assert all(r[n] == f"v{r.doc_id}" for r in out.collect() for n in names)
+
+
 def test_langid(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
