@@ -9,8 +9,11 @@ Jensen-Shannon distance (square root of the divergence in bits) to the nearest r
 the minimum lengths are too short to judge by divergence and stay, and so do texts labelled with a language that has
 no reference.
 
-Defined cases: null text counts as empty and fails the base rule (fewer than 20 words); without any reference nothing
-is judged by divergence; repeated rows are judged alike; the label column serves the references only.
+Defined cases: null text counts as empty and fails the base rule (fewer than 20 words); a null label, or a table without
+the label column, gives no reference, and such a document is compared with the references there are; without any
+reference nothing is judged by divergence; very long texts are measured whole; repeated rows are judged alike and all
+count for the references; references of equal size rank by label; an empty table gives an empty result. The input's
+columns that are kept travel in one struct ``row``, so no name of theirs can clash; the label serves the references only.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ CLASSES = (
 CLASS_BINS = [*(name for name, _ in CLASSES), "c_other"]
 WORD_BINS = [*(f"w_{lang}" for lang in COMMON), "w_other"]
 WINDOW = 8
+#: Largest distances, least lengths that are judged, least documents of a reference, and the references that all are compared with.
+CLASS_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS, MIN_DOCS, MOST = 0.29, 0.25, 250, 50, 10, 200
 
 
 def _repeat_words(hashed: Column) -> Column:
@@ -59,9 +64,11 @@ def _among(words: str, names: tuple[str, ...]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*names))).cast("long")
 
 
-def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """Counts of the base rules, base_failed and both histograms, one row per document."""
-    df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("body_"))
+def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), label: str = "lang") -> DataFrame:
+    """row (the columns ``keep``), label, counts of the base rules, base_failed and both histograms, one row per document."""
+    held = F.col(f"`{label}`").cast("string") if label in docs.columns else F.lit(None).cast("string")
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), held.alias("label"), F.coalesce(F.col("text"), F.lit("")).alias("body_"))
+    keep = ("row", "label")
     df = df.withColumns({"n_chars_": F.length("body_"), "words": F.array_remove(F.split("body_", SPACE), ""), "left0": F.regexp_replace("body_", CLASSES[0][1], "")})
     # every heavy column is named twice below, which keeps the optimizer from pasting it into a lambda
     common = sorted(set(sum(COMMON.values(), ())))
@@ -93,11 +100,11 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> Data
     )
 
 
-def references(measured: DataFrame, label: str = "lang", min_docs: int = 10) -> DataFrame:
+def references(measured: DataFrame, min_docs: int = 10) -> DataFrame:
     """label, n and the mean histograms ref_classes and ref_words of each language with at least ``min_docs`` documents."""
-    used = measured.where(~F.col("base_failed") & F.col(label).isNotNull())
-    sums = used.groupBy(label).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in CLASS_BINS + WORD_BINS]).where(F.col("n") >= min_docs)
-    return sums.select(label, "n", _shares(CLASS_BINS).alias("ref_classes"), _shares(WORD_BINS).alias("ref_words"))
+    used = measured.where(~F.col("base_failed") & F.col("label").isNotNull())
+    sums = used.groupBy("label").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in CLASS_BINS + WORD_BINS]).where(F.col("n") >= min_docs)
+    return sums.select("label", "n", _shares(CLASS_BINS).alias("ref_classes"), _shares(WORD_BINS).alias("ref_words"))
 
 
 def _plogp(x: Column) -> Column:
@@ -123,19 +130,19 @@ def _shares(names: list[str]) -> Column:
     return F.when(total > 0, F.array(*[F.col(c) / total for c in names])).otherwise(F.array().cast("array<double>"))
 
 
-def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), label: str = "lang", class_limit: float = 0.29, word_limit: float = 0.25, min_chars: int = 250, min_words: int = 50, min_docs: int = 10, most: int = 200) -> DataFrame:
-    """Base columns, js_classes, js_words (distance to the nearest reference) and kept."""
-    measured, _ = staged(measure(docs, keep), "quality")
-    found = references(measured, label, min_docs)
-    common = found.orderBy(F.desc("n"), label).limit(most + 1).collect()
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), label: str = "lang", class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, most: int = MOST) -> DataFrame:
+    """row (the columns ``keep``), base columns, js_classes, js_words (distance to the nearest reference) and kept."""
+    measured, _ = staged(measure(docs, keep, label), "quality")
+    found = references(measured, min_docs)
+    common = found.orderBy(F.desc("n"), "label").limit(most + 1).collect()
     more, common = len(common) > most, common[:most]
     out = measured.withColumns({"p_classes": _shares(CLASS_BINS), "p_words": _shares(WORD_BINS)})
     near = {c: nearest_distance(f"p_{c}", [r[f"ref_{c}"] for r in common]) for c in ("classes", "words")}
-    known = F.col(label).isNull() | F.col(label).isin([r[label] for r in common])
+    known = F.col("label").isNull() | F.col("label").isin([r.label for r in common])
     judged = out.where(known).withColumns({f"js_{c}": d for c, d in near.items()})
     if more:
         # languages beyond the commonest: their own reference is one more
-        own = out.where(~known).join(found.drop("n"), label, "left")
+        own = out.where(~known).join(found.drop("n"), "label", "left")
         rest = own.withColumns({f"js_{c}": F.when(F.col(f"ref_{c}").isNull(), 0.0).otherwise(F.least(d, F.sqrt(F.greatest(F.lit(0.0), _divergence(F.col(f"p_{c}"), F.col(f"ref_{c}")))))) for c, d in near.items()})
         out = judged.unionByName(rest.select(*judged.columns))
     else:
@@ -146,4 +153,44 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), label: st
 
 
 def quality_columns(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_classes", "js_words")
+    """The digest of a judged table; distances to six digits."""
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("js_classes", 6).alias("js_classes"), F.round("js_words", 6).alias("js_words"))
+
+
+def _oracle() -> str:
+    """The same rules in DuckDB SQL."""
+    quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+    among = lambda names: f"len(list_filter(words, lambda x: x in ({quoted(names)})))"
+    blank = r"[\x20\x09-\x0D]+"
+    chain, before = [], "body"
+    for k, (_, pattern) in enumerate(CLASSES):
+        chain.append(f"c{k} as (select *, regexp_replace({before}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') as left{k} from {f'c{k - 1}' if k else 'd'})")
+        before = f"left{k}"
+    ends = ["body", *[f"left{k}" for k in range(len(CLASSES))]]
+    counts = ", ".join(f"length({ends[k]}) - length({ends[k + 1]}) as {name}" for k, (name, _) in enumerate(CLASSES))
+    plogp = lambda x: f"(case when {x} > 0 then {x} * log2({x}) else 0 end)"
+    js = lambda bins: "sqrt(greatest(0, " + " + ".join(f"{plogp(f'p.p_{b}')} / 2 + {plogp(f'r.r_{b}')} / 2 - {plogp(f'((p.p_{b} + r.r_{b}) / 2)')}" for b in bins) + "))"
+    total = lambda bins: "(" + " + ".join(bins) + ")"
+    shares = lambda mark: ", ".join(f"coalesce({b} / nullif({total(bins)}, 0), 0) as {mark}_{b}" for bins in (CLASS_BINS, WORD_BINS) for b in bins)
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as body from documents),
+    {", ".join(chain)},
+    w as (select *, list_filter(regexp_split_to_array(body, '{blank}'), lambda x: x <> '') as words, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from c{len(CLASSES) - 1}),
+    places as (select rid, words, unnest(range(1, len(words) - {WINDOW - 2})) as i from w where len(words) > {WINDOW}),
+    win as (select rid, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') as h from places),
+    twice as (select rid, i from win qualify count(*) over (partition by rid, h) > 1),
+    step as (select rid, least({WINDOW}, i - coalesce(lag(i) over (partition by rid order by i), -{WINDOW})) as covers from twice),
+    rep as (select rid, sum(covers)::bigint as n from step group by rid),
+    m0 as (select w.rid, doc_id, lang, len(words)::bigint as n_words, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, {counts}, length({ends[-1]}) as c_other,
+                  {", ".join(f"{among(names)} as w_{lang}" for lang, names in COMMON.items())}, len(words) - {among(sorted(set(sum(COMMON.values(), ()))))} as w_other, length(body) as chars from w left join rep on w.rid = rep.rid),
+    m as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m0),
+    sums as (select lang, count(*) as n, {", ".join(f"sum({b}) as {b}" for b in CLASS_BINS + WORD_BINS)} from m where not base_failed and lang is not null group by lang having count(*) >= {MIN_DOCS}),
+    refs as (select lang, row_number() over (order by n desc, lang) as place, {shares("r")}, {total(WORD_BINS)} as words_ from sums),
+    p as (select *, {shares("p")} from m),
+    near as (select p.rid, min({js(CLASS_BINS)}) as js_classes, min(case when words_ > 0 then {js(WORD_BINS)} end) as js_words from p join refs r on (r.place <= {MOST} or r.lang = p.lang) where p.lang is null or p.lang in (select lang from refs) group by p.rid),
+    j as (select p.*, case when chars > 0 then coalesce(near.js_classes, 0) else 0 end as a, case when n_words > 0 then coalesce(near.js_words, 0) else 0 end as b from p left join near on p.rid = near.rid)
+    select doc_id, n_words, (chars - c_space)::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not base_failed and not (chars >= {MIN_CHARS} and a > {CLASS_LIMIT}) and not (n_words >= {MIN_WORDS} and b > {WORD_LIMIT}) as kept, round(a, 6) as js_classes, round(b, 6) as js_words from j"""
+
+
+ORACLE_SQL = _oracle()

@@ -73,6 +73,7 @@ _LISTED = "list_has_any(string_split(host, '.'), [" + ", ".join(f"'{x}'" for x i
 
 ORACLE_SQL = {
     "op8_line_dedup": lines.ORACLE_SQL,
+    "op9_quality_rules": quality.ORACLE_SQL,
     "op10_url_filter": f"""
         with parts as (select page_id, coalesce({_HOST}, '') host, coalesce({_PATH}, '') path from pages)
         select page_id, host, path,
