@@ -67,6 +67,32 @@ def test_quality_empty_and_unlabelled(spark):
     assert quality.judge(spark.createDataFrame([], schema)).count() == 0
     row = quality.judge(spark.createDataFrame([(None, "word " * 3 + " ".join(f"q{k}" for k in range(60)), None)], schema)).first()
     assert row.kept and row.js_classes == 0
+    assert quality.judge(spark.createDataFrame([(1, "a")], "doc_id long, text string")).first().kept is False
+
+
+CLASHES = ["lines", "n_words", "w_en", "hashed", "words", "left0", "kept", "p_words", "Label", "body_", "n_chars_", "js_words", "n", "row", "windows", "common", "base_failed", "c_space", "at1"]
+
+
+def test_quality_clashing_names(spark):
+    rows = [(k, t, "en") for k, t in enumerate(CASES)]
+    plain = quality.quality_columns(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()
+    df = spark.createDataFrame([(*r, *[f"v{r[0]}"] * len(CLASHES)) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASHES))
+    judged = quality.judge(df, tuple(df.columns))
+    assert sorted(quality.quality_columns(judged).collect()) == sorted(plain)
+    back = judged.select("row.*")
+    assert back.columns == df.columns and sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_quality_keeps_a_small_language(spark):
+    """Four Italian documents among a thousand others are kept, as they are among six hundred."""
+    import random
+
+    rng = random.Random(9)
+    speak = lambda common, letters: " ".join(w for _ in range(40) for w in (rng.choice(common), "".join(rng.choice(letters) for _ in range(6))))
+    for many in (600, 1000):
+        rows = [(speak(quality.COMMON["en"], "abcdefghij"), "en") for _ in range(many)] + [(speak(("il", "di", "che", "non", "si", "una", "per", "con"), "aeioumnprt"), "it") for _ in range(4)]
+        got = quality.judge(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")).where("kept").count()
+        assert got == len(rows)
 
 
 def test_quality_rare_languages(spark):
@@ -81,8 +107,8 @@ def test_quality_rare_languages(spark):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
     for options in ({}, {"most": 1}):
         got = quality.judge(df, **options).collect()
-        assert len(got) == len(rows) and sorted(r.doc_id for r in got if not r.kept) == [len(rows) - 1]
-        assert all(r.js_classes == 0 for r in got if r.lang == "el")
+        assert len(got) == len(rows) and sorted(r.row.doc_id for r in got if not r.kept) == [len(rows) - 1]
+        assert all(r.js_classes == 0 for r in got if r.label == "el")
 
 
 def test_native_plans_hold_no_python(spark):
@@ -167,19 +193,85 @@ def test_langid(spark):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.98 * len(held)
 
 
+def naive(train_rows, texts, bits=15, alpha=0.5):
+    """Multinomial naive Bayes over the same features, with plain integers and dictionaries."""
+    primes = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+
+    def grams(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+        raw = re.sub(rb" +", b" ", raw)
+        for n in range(1, 5):
+            for i in range(len(raw) - n + 1):
+                key = 0
+                for b in raw[i : i + n]:
+                    key = (key * 257 + b) & 0xFFFFFFFF
+                yield ((key ^ (key >> 15)) * primes[n - 1] & 0xFFFFFFFF) >> (32 - bits)
+
+    counts, docs = {}, Counter()
+    for text, label in train_rows:
+        counts.setdefault(label, Counter()).update(grams(text))
+        docs[label] += 1
+    out = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        found = Counter(grams(text))
+        joint = {}
+        for label in sorted(counts):
+            total = sum(counts[label].values()) + alpha * 2**bits
+            joint[label] = math.log(docs[label] / sum(docs.values())) + sum(n * math.log((counts[label][g] + alpha) / total) for g, n in found.items())
+        best = max(sorted(joint), key=joint.get)
+        out.append((best, 1 / sum(math.exp(v - joint[best]) for v in joint.values())))
+    return out
+
+
+def test_langid_against_plain_numbers(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    learned = [(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text and any(c.isalpha() for c in r.text)]
+    want = dict(zip([r.doc_id for r in rows], naive(learned, [r.text for r in rows]), strict=True))
+    for r in queries.op4_language_id(spark, SF).collect():
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-3), r.doc_id
+
+
 def test_langid_cases(spark):
-    rows = [(k, t, lang, 0.5) for k, (t, lang) in enumerate([("the cat and the dog " * 5, "en"), ("der hund und die katze " * 5, "de"), ("the cat", "en"), (None, "en"), ("123 ---", None), ("", None), ("und die", None), ("É" * 3_000_000, None), ("the cat and the dog " * 5, "en")])]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    rows = [(k, t, lang, 0.5, "x") for k, (t, lang) in enumerate([("the cat and the dog " * 5, "en"), ("der hund und die katze " * 5, "de"), ("the cat", "en"), (None, "en"), ("123 ---", None), ("", None), ("und die", None), ("É" * 3_000_000, None), ("the cat and the dog " * 5, "en")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, row string")
     model = langid.train(df)
     assert model.names == ["de", "en"]
-    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, model).collect()}
+    out = langid.identify(df, model)
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in out.collect()}
     assert (got[0][0], got[1][0], got[6][0]) == ("en", "de", "de") and got[3] == got[4] == got[5] == ("und", 0.0)
+    assert out.select("row.*").columns == df.columns and {(r.score, r.row) for r in out.select("row.*").collect()} == {(0.5, "x")}
     none = langid.train(df.where("lang is null"))
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
-    assert langid.predict_documents(df.where("doc_id > 99").drop("score")).count() == 0
-    long = "the cat and the dog und " * 300_000
-    whole = langid.features(*langid.utf8_view(langid.pa.array([long])), 15)[0]
-    assert len(whole) > 0 and model.predict(langid.pa.array([long]))[0] == ["en"]
+    assert langid.predict_documents(df.where("doc_id > 99")).count() == 0
+    assert langid.train(df, model_bytes=1 << 15).bits == 12
+
+
+def test_langid_pieces_lose_nothing(monkeypatch):
+    text = "the cat and the dog, und der Hund É  über " * 3000
+    view = langid.utf8_view(langid.pa.array([text, "a b", text, None, text]))
+    gather = lambda: [Counter(zip([i + o for o in owner.tolist()], found.tolist(), strict=True)) for i, _, found, owner in langid.gram_blocks(*view, 15)]
+    whole = sum(gather(), Counter())
+    monkeypatch.setattr(langid, "_BLOCK", 1000)
+    pieces = gather()
+    assert len(pieces) > 50 and sum(pieces, Counter()) == whole
+
+
+def test_rows_in_no_language_go(spark):
+    import random
+
+    rng = random.Random(6)
+    noise = " ".join("".join(rng.choice("qxzjkvwyp") for _ in range(6)) for _ in range(40))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(10**6, noise, "en"), (10**6 + 1, noise, "tlh"), (10**6 + 2, noise, None), (10**6 + 3, noise[:50], None), (10**6 + 4, "12 34 " * 50, "en"), (10**6 + 5, None, "en")], docs.schema)
+    model = langid.train(docs.where(~langid.held_out()))
+    kept = [r.doc_id for r in langid.in_a_language(docs.unionByName(extra), model).collect()]
+    assert {k for k in kept if k >= 10**6} == {10**6 + 1, 10**6 + 3}
+    assert len(kept) - 2 >= 0.99 * docs.count()
+    none = langid.in_a_language(extra, langid.Model.from_counts({}, 15))
+    assert {r.doc_id for r in none.collect()} == {10**6, 10**6 + 1, 10**6 + 2, 10**6 + 3}
 
 
 def payload_digest(raw):

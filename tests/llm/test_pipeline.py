@@ -21,7 +21,7 @@ def test_stages_take_effect(spark):
     first, second = ({r.doc_id for r in df.select("doc_id").collect()} for df in frames[1:3])
     from stratakit.llm import quality
 
-    base = {r.doc_id for r in quality.judge(docs).where("base_failed").collect()}
+    base = {r.doc_id for r in quality.judge(docs).where("base_failed").select("row.doc_id").collect()}
     assert len(good & first) >= 0.99 * len(good - base) and first == second
     whole = pipeline.run(spark, SF)
     assert whole.count() == frames[5].count() and whole.columns == frames[5].columns
