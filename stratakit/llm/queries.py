@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stratakit.llm import hnsw, jaccard, langid, lines, packing, pieces, quality, tokenfile, urls, warc
 from stratakit.llm.common import read_table
@@ -56,7 +55,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     pages = read_table(spark, sf_dir, "pages")
-    return urls.filter_urls(pages, urls.label_listed(F.col("key"))).drop("in_list")
+    return urls.filter_urls(pages, urls.production_list(spark)).drop("in_list")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_jaccard, op3_sentencepiece, op4_language_id, op5_embedding_neardup, op6_packing, op7_warc, op8_line_dedup, op9_quality_rules, op10_url_filter)}
@@ -69,7 +68,7 @@ def _rule(suffix: str, prefix: str) -> str:
     return f"((host = '{suffix}' or ends_with(host, '.{suffix}')) and starts_with(path, '{prefix}'))"
 
 
-_LISTED = "list_has_any(string_split(host, '.'), [" + ", ".join(f"'{x}'" for x in urls.LISTED_LABELS) + "])"
+_LISTED = f"regexp_matches(host, '{urls.LISTED_PATTERN}')"
 
 ORACLE_SQL = {
     "op8_line_dedup": lines.ORACLE_SQL,

@@ -1,33 +1,68 @@
 """URL filtering: suffix and path rules, then a Bloom filter cascade for exact list membership without joins.
 
-A cascade alternates levels: the first encodes the listed keys, the second the unlisted keys that pass the first by
-mistake, the third the listed keys that pass the second by mistake, and so on until a level has no mistakes. Over the
-universe it was built from (every distinct host of the table) the answer is exact. The universe is cut into shards by
-a key hash; each shard's cascade is built in one bounded task. The cascades take some 10 bits per listed key. They are
-broadcast in batches of at most ``batch_bytes``; where all together exceed that, the table flows through one mapping
-stage per batch, so no broadcast grows with the corpus.
+A list names domains; a URL is listed if its host or a parent domain of it is. A cascade alternates levels: the first
+encodes the listed keys, the second the unlisted keys that pass the first by mistake, the third the listed keys that pass
+the second by mistake, and so on until a level has no mistakes. Over the universe it was built from (every host of the
+table and every parent domain) the answer is exact. The distinct keys are marked by one equi-join with the list and cut
+into shards by hash; each shard's cascade is built in one bounded task and staged. Cascades take some 10 bits per listed
+key that occurs. They are broadcast in batches of at most ``batch_bytes``; where all together exceed that, the table takes
+one staged pass per batch and each broadcast is freed before the next, so none grows with the corpus.
 
 Defined cases: null url, or one without ``://``, has an empty host and path, no rule, and verdict ``allow`` (an empty
-host is never listed). Repeated rows give repeated results. Only ``page_id`` and ``url`` are read, so other columns
-with clashing names do no harm. An empty table gives an empty result.
+host is never listed). Names of over 253 characters or 127 labels are no domains: they are never listed, nor are such
+parents, but shorter parents of a long host are. List entries match in lower case; null and repeated ones do nothing.
+Repeated rows give repeated results; of rules of equal length the first in order of name wins. Only ``page_id`` and
+``url`` are read, so other columns with clashing names do no harm. An empty table gives an empty result, an empty list
+lists nothing.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratakit.llm.common import discard, staged
+
 #: Host suffix, path prefix, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Hosts with one of these labels are the list that the production query encodes.
-LISTED_LABELS = ("spam-farm", "casino-win", "ads-track", "free-bets", "adult-zone", "malware-drop")
+#: The production list: these names under these domains, and ``GENERATED`` numbered names by rule. Fixed values.
+LISTED_NAMES = ("spam-farm", "casino-win", "ads-track", "free-bets", "adult-zone", "malware-drop")
+LISTED_UNDER = ("example.com", "example.net", "example.org")
+GENERATED = 200_000
+MOST_LABELS, MOST_CHARS = 127, 253
+
+
+def production_list(spark: SparkSession) -> DataFrame:
+    """domain: the listed names, and d0.ads.example to d199999.ads.example."""
+    names = spark.createDataFrame([(f"{n}.{u}",) for n in LISTED_NAMES for u in LISTED_UNDER], "domain string")
+    return names.unionByName(spark.range(GENERATED).select(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".ads.example")).alias("domain")))
+
+
+#: A host that the production list covers, as a regular expression.
+LISTED_PATTERN = rf"(^|\.)(({'|'.join(LISTED_NAMES)})\.example\.(com|net|org)|d(0|[1-9][0-9]{{0,4}}|1[0-9]{{5}})\.ads\.example)$"
+
+
+def domains_of(host: Column) -> Column:
+    """The host and its parent domains, longest first."""
+    labels = F.split(host, r"\.")
+    tail = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (MOST_LABELS - 1)), MOST_LABELS)
+    names = F.transform(F.sequence(F.lit(1), F.size(tail)), lambda i: F.array_join(F.slice(tail, i, F.lit(MOST_LABELS)), "."))
+    return F.filter(names, lambda x: (x != "") & (F.length(x) <= MOST_CHARS))
+
+
+def domain_names(host: str) -> list[str]:
+    """domains_of() for one host."""
+    labels = host.split(".")[-MOST_LABELS:]
+    names = [".".join(labels[i:]) for i in range(len(labels))]
+    return [x for x in names if x and len(x) <= MOST_CHARS]
 
 
 def url_host(url: Column) -> Column:
@@ -114,20 +149,20 @@ class Cascade:
         return cls(levels)
 
 
-def build_cascades(keys: DataFrame, shard_keys: int = 200_000, rate: float = 0.1) -> DataFrame:
+def build_cascades(keys: DataFrame, shards: int, rate: float = 0.1) -> DataFrame:
     """keys: distinct (key string, listed boolean). One row per shard: shard int, cascade binary."""
-    shards = max(1, math.ceil(keys.count() / shard_keys))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         built = Cascade.build(pdf.key[pdf.listed].tolist(), pdf.key[~pdf.listed].tolist(), rate)
-        return pd.DataFrame({"shard": pdf.shard[:1], "shards": shards, "cascade": [built.to_bytes()]})
+        return pd.DataFrame({"shard": pdf.shard[:1], "cascade": [built.to_bytes()]})
 
-    return keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(make, "shard int, shards int, cascade binary")
+    return keys.withColumn("shard", (F.crc32("key") % shards).cast("int")).groupBy("shard").applyInPandas(make, "shard int, cascade binary")
 
 
 def batches(cascades: DataFrame, batch_bytes: int) -> Iterator[dict[int, bytes]]:
+    """Shards' cascades, as many at a time as ``batch_bytes`` hold; cascades that list nothing are left out."""
     batch, size = {}, 0
-    for row in cascades.toLocalIterator():
+    for row in cascades.where(F.octet_length("cascade") > 8).toLocalIterator():
         if batch and size + len(row.cascade) > batch_bytes:
             yield batch
             batch, size = {}, 0
@@ -137,41 +172,55 @@ def batches(cascades: DataFrame, batch_bytes: int) -> Iterator[dict[int, bytes]]
         yield batch
 
 
-def filter_urls(pages: DataFrame, listed: Column, rules=RULES, shard_keys: int = 200_000, batch_bytes: int = 32 << 20) -> DataFrame:
-    """page_id, host, path, rule, verdict, in_list; ``listed`` is a condition on the column ``key``, a host."""
+def listed_hosts(hosts: list[str], cascades: dict[int, Cascade], shards: int) -> np.ndarray:
+    """Whether one of the cascades lists the host or a parent domain."""
+    names = [domain_names(h) for h in hosts]
+    of = np.repeat(np.arange(len(hosts)), [len(x) for x in names])
+    flat = [x for y in names for x in y]
+    shard = np.array([zlib.crc32(x.encode()) % shards for x in flat], np.int64)
+    out = np.zeros(len(hosts), bool)
+    for k in np.unique(shard).tolist():
+        if k in cascades:
+            at = np.flatnonzero(shard == k)
+            out[of[at[cascades[k].contains([flat[i] for i in at])]]] = True
+    return out
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, shard_keys: int = 200_000, batch_bytes: int = 32 << 20) -> DataFrame:
+    """page_id, host, path, rule, verdict, in_list; ``listed`` has a column ``domain``."""
     spark = pages.sparkSession
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    keys = parts.where("host <> ''").select(F.col("host").alias("key")).distinct()
-    keys = keys.select("key", F.coalesce(listed, F.lit(False)).alias("listed"))
-    cascades = build_cascades(keys, shard_keys)
-    shards = cascades.agg(F.max("shards")).first()[0] or 1
-    out = parts.withColumns({"shard": F.pmod(F.xxhash64("host"), F.lit(shards)).cast("int"), "in_list": F.lit(False)})
-    schema = out.schema
+    universe = parts.where("host <> ''").select("host").distinct().select(F.explode(domains_of(F.col("host"))).alias("key")).distinct()
+    marks = listed.select(F.lower("domain").alias("key")).where("key is not null").distinct().withColumn("listed", F.lit(True))
+    keys, keys_path = staged(universe.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+    shards = max(1, math.ceil(keys.count() / shard_keys))
+    cascades, cascades_path = staged(build_cascades(keys, shards), "cascades")
+    discard(spark, keys_path)
+    out = parts.withColumn("in_list", F.lit(False))
+    schema, path, sent = out.schema, None, None
     for batch in batches(cascades, batch_bytes):
+        if sent is not None:  # another batch follows: finish the one before and free it
+            done, (out, path) = path, staged(out, "judged")
+            if done:
+                discard(spark, done)
+            sent.destroy()
         sent = spark.sparkContext.broadcast(batch)
 
         def probe(frames, sent=sent):
             held = {k: Cascade.from_bytes(v) for k, v in sent.value.items()}
             for pdf in frames:
-                pdf = pdf.reset_index(drop=True)
                 codes, hosts = pd.factorize(pdf.host)
-                shard = pdf.shard.to_numpy()
-                first = np.zeros(len(hosts), np.int64)
-                first[codes[::-1]] = np.arange(len(pdf))[::-1]
-                known = np.zeros(len(hosts), bool)
-                of = shard[first] if len(hosts) else np.zeros(0, np.int64)
-                for k, cascade in held.items():
-                    at = np.flatnonzero((of == k) & (hosts != ""))
-                    if len(at):
-                        known[at] = cascade.contains([hosts[i] for i in at])
-                pdf["in_list"] = pdf.in_list.to_numpy(bool) | known[codes]
+                pdf["in_list"] = pdf.in_list.to_numpy(bool) | listed_hosts(list(hosts), held, shards)[codes]
                 yield pdf
 
-        out = out.mapInPandas(probe, schema)
+        out = _mapped(out, probe, schema)
+    discard(spark, cascades_path)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("in_list"), "block").otherwise("allow")).alias("verdict"), "in_list")
 
 
-def label_listed(host: Column, labels=LISTED_LABELS) -> Column:
-    """True for hosts that have one of the labels."""
-    return F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in labels]))
+def _mapped(df: DataFrame, probe, schema) -> DataFrame:
+    """``df`` through ``probe``; page_id travels beside it as text, as a long column with nulls would lose digits in pandas."""
+    kind = schema["page_id"].dataType
+    text = df.withColumn("page_id", F.col("page_id").cast("string"))
+    return text.mapInPandas(probe, text.schema).withColumn("page_id", F.col("page_id").cast(kind)).select(*schema.names)
