@@ -6,15 +6,18 @@ digests that occur twice enter the join, and both sides of the join are salted,
 pages share is spread over tasks. The files are raw archives: Spark's text writer puts a row's bytes followed by a
 separator, and every gzip member ends in a zero byte (the high byte of its length; an empty member is added behind a
 member of 16 MB or more), so rows are members without their last byte and the separator is that byte. The files are
-thereby written by Spark's commit protocol to any store Spark knows.
+thereby written by Spark's commit protocol to any store Spark knows. A task begins a new file (its rows get the next
+``roll``, a folder of the path) when the last one holds ``file_bytes`` or ``records_per_file``, so a file exceeds that by
+one record at most, however large pages are.
 
 Reading: ``binaryFile`` rows are parsed from the first to the last member with an incremental decompressor; the
 content-length frames each block, and block and payload digests are verified; any mismatch raises.
 
 Defined cases: null html is an empty payload; null url is ``about:blank``; null page_id is written as an id without
 number and read back as null (it never is a referred page unless all equal payloads have null ids, where all are
-responses). Rows that share page_id and payload are all responses if that id is the smallest. Only page_id, url and
-html are read. An empty table gives an empty result.
+responses). Rows that share page_id and payload are all responses if that id is the smallest. Very long payloads are one
+record each, unpacked step by step; a file is in memory once, as a row. Only page_id, url and html are read, so other
+columns do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -122,17 +125,25 @@ def with_first(pages: DataFrame, min_bytes: int = 0, salts: int = 16) -> DataFra
     return joined.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 5000) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 50_000, file_bytes: int = 64 << 20) -> None:
     """Archives under ``path`` with one gzip member per page."""
 
     def pack(frames):
+        roll, held, count = 0, 0, 0
         for pdf in frames:
-            rows = zip(pdf.page_id, pdf.url, pdf.html, pdf.refers_to, strict=True)
-            yield pd.DataFrame({"raw": [member(record(None if pd.isna(p) else int(p), u, (h or "").encode(), None if pd.isna(r) else int(r)))[:-1] for p, u, h, r in rows]})
+            raw, rolls = [], []
+            for p, u, h, r in zip(pdf.page_id, pdf.url, pdf.html, pdf.refers_to, strict=True):
+                if held >= file_bytes or count >= records_per_file:
+                    roll, held, count = roll + 1, 0, 0
+                raw.append(member(record(None if pd.isna(p) else int(p), u, (h or "").encode(), None if pd.isna(r) else int(r)))[:-1])
+                rolls.append(roll)
+                held, count = held + len(raw[-1]) + 1, count + 1
+            yield pd.DataFrame({"raw": raw, "roll": rolls})
 
     # Int64 columns with nulls would turn to doubles on the way to pandas, so ids travel as text
     rows = with_first(pages, min_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    rows.mapInPandas(pack, "raw binary").select(F.col("raw").cast("string").alias("value")).write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
+    packed = rows.mapInPandas(pack, "raw binary, roll int").select(F.col("raw").cast("string").alias("value"), "roll")
+    packed.write.partitionBy("roll").option("lineSep", "\x00").option("compression", "none").text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -158,7 +169,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         # ids as nullable integers from the start: by way of doubles they would lose digits
         return pd.DataFrame({n: pd.array([r[n] for r in batch], "Int64") if n in ("page_id", "refers_to") else [r[n] for r in batch] for n in names})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("content").mapInPandas(unpack, schema)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
