@@ -6,15 +6,18 @@ A shard holds consecutive documents in ascending doc_id order as one binary blob
     | i64 doc_id[n] | u64 id offset[n] | u64 frame offset[n + 1] | frames
 
 Id offsets count the ids of all documents before in the part (the shards of one range of doc_id); the manifest holds
-each part's offset. Frame offsets are bytes from the first frame. A short document is read by one lookup in its
-shard's index and one small frame. The dictionary is trained on serialized id arrays of a bounded sample
-(``sample_docs`` documents of smallest id hash, ``sample_chars`` of each); files hold its hash and readers refuse
-another. Documents are shuffled once, as text, by range of doc_id; ids are made, packed and written where they land.
-Shards, manifest and dictionary are written by Spark as Parquet rows, so any store Spark writes to will do, and lost
-tasks are written again.
+each part's offset. Frame offsets are bytes from the first frame. ``lookup`` reads short documents: the range of ids that
+each shard is stored with prunes row groups and pages in the scan, the shard's index gives the place, and one small frame
+is decompressed. The dictionary is trained on serialized id arrays of pieces of a bounded sample (``sample_docs``
+documents of smallest id hash, ``sample_chars`` characters from a place given by the hash); it does not see every row,
+which bears on the compression alone. Files hold its hash and readers refuse another. Documents are shuffled once, as
+text, by range of doc_id, text hash and row, in parts of some ``part_bytes`` of text, so an id that a third of all rows
+share is spread over parts; ids are made, packed and written where they land. Shards, manifest and dictionary are
+written by Spark as Parquet rows, so any store Spark writes to will do, and lost tasks are written again.
 
 Defined cases: null text has no ids but its end id; null doc_id sorts first and is stored as the least long; repeated
-rows are all kept, side by side; an empty table gives an empty file set. Only doc_id and text are read.
+rows are all kept, side by side, and rows that share a doc_id come in order of text hash; a very long text is one frame;
+an empty table gives an empty file set. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratakit.llm.common import work_path
@@ -47,7 +50,8 @@ def train_dictionary(docs: DataFrame, path: str, width: int, sample_docs: int =
     if edge is None:
         return b""
     # rows, not ids, are many where ids repeat, so the limit holds for both
-    rows = docs.where(F.xxhash64("doc_id") <= edge).select("doc_id", F.substring("text", 1, sample_chars).alias("text")).orderBy("doc_id", "text").limit(sample_docs)
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int") + 1
+    rows = docs.where(F.xxhash64("doc_id") <= edge).select("doc_id", F.substring("text", start, F.lit(sample_chars)).alias("text")).orderBy("doc_id", "text").limit(sample_docs)
     heads = [narrowed(x, width) for x in encoder(path).encode([r.text for r in rows.toLocalIterator()])]
     try:
         return zstandard.train_dictionary(size, [h for h in heads if h]).as_bytes()
@@ -103,14 +107,14 @@ class Shard:
         return np.frombuffer(self.ids(k), "<u4") if k < len(self) and self.doc_ids[k] == doc_id else None
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, shard_bytes: int = 8 << 20, part_docs: int = 8192) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, shard_bytes: int = 4 << 20, part_bytes: int = 16 << 20) -> None:
     """Write ``path``/shards, ``path``/manifest and ``path``/dictionary."""
     spark = docs.sparkSession
     file = tokenizer or default_path()
     width = id_width(file)
     tail = end_id.to_bytes(width, "little")
     dictionary = train_dictionary(docs, file, width)
-    parts = max(1, docs.count() // part_docs)
+    parts = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, at, size = TaskContext.get().partitionId(), 0, 0, 0
@@ -139,34 +143,66 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if held[0]:
             yield shard()
 
-    # ranges in order: partition numbers are part numbers, and equal ids share a partition
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # ranges in order: partition numbers are part numbers
+    keys = ["doc_id", "of", "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     rows.mapInArrow(pack, "part int, shard int, first_doc long, last_doc long, n_docs int, n_tokens long, content binary").write.option("compression", "uncompressed").parquet(f"{path}/shards")
-    # one number per range of some ``part_docs`` documents
-    sums = spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toLocalIterator()
-    base, at = [], 0
-    for r in sums:
-        base.append((r.part, at))
-        at += r.n
-    spark.createDataFrame(base, "part int, base long").coalesce(1).write.parquet(f"{path}/manifest")
+    # one number per part of some ``part_bytes``
+    sums = spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/manifest")
     spark.createDataFrame([(bytearray(dictionary), f"{dictionary_hash(dictionary):016x}")], "dictionary binary, hash string").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
+_READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
+
+
+def _documents(shard: Shard, base: int, picks: np.ndarray) -> pa.RecordBatch:
+    ids = [shard.ids(k) for k in picks.tolist()]
+    doc = pa.array([None if d == NULL_ID else d for d in shard.doc_ids[picks].tolist()], pa.int64())
+    return pa.RecordBatch.from_arrays([doc, pa.array(shard.starts[picks].astype(np.int64) + base), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+
+def _with_base(spark: SparkSession, path: str, most_parts: int = 2_000_000) -> tuple[DataFrame, bytes]:
+    """part, base and content of the shards, and the dictionary. The manifest, two numbers a part, is broadcast up to ``most_parts``."""
+    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
+    manifest = spark.read.parquet(f"{path}/manifest")
+    shards = spark.read.parquet(f"{path}/shards")
+    return shards.join(F.broadcast(manifest) if manifest.count() <= most_parts else manifest, "part"), dictionary
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of every document, from the files."""
-    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
-    base = {r.part: r.base for r in spark.read.parquet(f"{path}/manifest").toLocalIterator()}
+    shards, dictionary = _with_base(spark, path)
 
     def run(batches):
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for base, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(blob.as_py(), dictionary)
                 for lo in range(0, len(shard), 1000):
-                    ids = [shard.ids(k) for k in range(lo, min(lo + 1000, len(shard)))]
-                    doc = pa.array([None if d == NULL_ID else d for d in shard.doc_ids[lo : lo + 1000].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(shard.starts[lo : lo + 1000].astype(np.int64) + base[part]), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    yield _documents(shard, base, np.arange(lo, min(lo + 1000, len(shard))))
+
+    return shards.select("base", "content").mapInArrow(run, _READ_SCHEMA)
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """The rows of ``read_tokens`` for a few doc_ids: only shards whose range holds one are read, and only its frames unpacked."""
+    shards, dictionary = _with_base(spark, path)
+    wanted = np.unique(np.array([NULL_ID if d is None else d for d in doc_ids], np.int64))
+    hit = F.lit(False)
+    for d in wanted.tolist():
+        hit = hit | ((F.col("first_doc") <= d) & (F.col("last_doc") >= d))
+
+    def run(batches):
+        for batch in batches:
+            for base, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard = Shard(blob.as_py(), dictionary)
+                picks = np.flatnonzero(np.isin(shard.doc_ids, wanted))
+                if len(picks):
+                    yield _documents(shard, base, picks)
 
-    return spark.read.parquet(f"{path}/shards").select("part", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.where(hit).select("base", "content").mapInArrow(run, _READ_SCHEMA)
 
 
 def token_digests(docs: DataFrame) -> DataFrame:

@@ -300,14 +300,26 @@ def test_warc(spark, tmp_path):
     warc.write_archives(df, str(tmp_path / "w"), records_per_file=2)
     back = warc.read_archives(spark, str(tmp_path / "w"), payloads=True).collect()
     assert {bytes(r.payload) for r in back if r.record_type == "response"} == {(h or "").encode() for _, h in pages}
-    assert len(list((tmp_path / "w").glob("part*"))) > 3
+    assert len(list((tmp_path / "w").rglob("part*"))) > 3
     import gzip
 
-    for p in (tmp_path / "w").glob("part*"):
+    for p in (tmp_path / "w").rglob("part*"):
         assert gzip.decompress(p.read_bytes()).startswith(b"WARC/1.1\r\n")
     assert warc.round_trip(df.where("page_id = -1")).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    pages = [(k, bytes(rng.randrange(33, 127) for _ in range(rng.choice((100, 30_000)))).decode()) for k in range(120)]
+    df = spark.createDataFrame([(k, f"http://h/{k}", h, 7) for k, h in pages], "page_id long, url string, html string, roll int").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"), file_bytes=100_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("part*")]
+    assert len(sizes) > 8 and max(sizes) < 100_000 + 32_000
+    check_pages(warc.read_archives(spark, str(tmp_path / "w")).collect(), pages)
+
+
 def test_warc_minimum_size(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     assert {r.page_id: r.record_type for r in warc.round_trip(df, min_bytes=3).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}

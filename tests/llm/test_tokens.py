@@ -46,7 +46,7 @@ def test_token_files(spark, library, tmp_path):
 def test_token_files_in_parts_and_small_shards(spark, library, tmp_path):
     rows = [(k * 37 % 1009, f"text number {k} " * (k % 9)) for k in range(1009)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    tokenfile.write_tokens(df, str(tmp_path / "t"), shard_bytes=2000, part_docs=100)
+    tokenfile.write_tokens(df, str(tmp_path / "t"), shard_bytes=2000, part_bytes=8000)
     shards = spark.read.parquet(str(tmp_path / "t" / "shards")).orderBy("part", "shard").collect()
     assert len(shards) > 20 and [s.first_doc for s in shards] == sorted(s.first_doc for s in shards)
     got = sorted(map(tuple, tokenfile.read_tokens(spark, str(tmp_path / "t")).select("doc_id", "start", "n_tokens").collect()))
@@ -64,6 +64,31 @@ def test_token_files_in_parts_and_small_shards(spark, library, tmp_path):
         tokenfile.Shard(bytes(shards[3].content), b"x")
 
 
+def test_lookup_reads_few_shards(spark, library, tmp_path):
+    rows = [(k * 3, f"document number {k} " * (1 + k % 5)) for k in range(800)] + [(30, "another text of one id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "t")
+    tokenfile.write_tokens(df, path, shard_bytes=1500, part_bytes=6000)
+    whole = {(r.doc_id, r.start): (r.n_tokens, bytes(r.ids)) for r in tokenfile.read_tokens(spark, path).collect()}
+    found = tokenfile.lookup(spark, path, [30, 1500, 31, None, 10**9])
+    got = {(r.doc_id, r.start): (r.n_tokens, bytes(r.ids)) for r in found.collect()}
+    assert got == {k: v for k, v in whole.items() if k[0] in (30, 1500, None)} and len(got) == 4
+    assert np.frombuffer(next(v[1] for k, v in got.items() if k[0] == 1500), "<u4").tolist() == [*ids_of(library, rows[500][1]), 1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "first_doc" in plan.split("PushedFilters")[1]
+    assert tokenfile.lookup(spark, path, []).count() == 0
+
+
+def test_one_id_in_a_third_of_the_rows(spark, tmp_path):
+    rows = [(5, f"copy {k} of one id") for k in range(400)] + [(5, "same row")] * 200 + [(k, f"other {k}") for k in range(10, 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokenfile.write_tokens(df, str(tmp_path / "t"), part_bytes=2000)
+    parts = spark.read.parquet(str(tmp_path / "t" / "shards")).groupBy("part").agg({"n_docs": "sum", "first_doc": "min", "last_doc": "max"}).orderBy("part").collect()
+    assert sum(r["min(first_doc)"] == 5 for r in parts) >= 3 and max(r["sum(n_docs)"] for r in parts) < 500
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfile.read_tokens(spark, str(tmp_path / "t")).collect())
+    assert [d for _, d, _ in got] == sorted(k for k, _ in rows) and all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
+
+
 def test_token_files_null_ids_ties_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a"), (3, "b"), (3, "b"), (None, None)], "doc_id long, text string")
     got = tokenfile.token_digests(df).collect()
