@@ -7,8 +7,12 @@ left at a partition's end are merged in groups of partitions by best fit over wh
 cutting to fill; each group of ``merge_parts`` partitions has one partly filled window at the end. Memory is the open
 windows; the state of a merge is ``merge_parts`` x ``open_windows`` windows, whatever the corpus size.
 
-Defined cases: null text counts as empty and has its end id alone; repeated rows are packed each by itself; an empty
-table gives no pieces. Only doc_id and text are read.
+Which pieces share a window depends on how the rows are partitioned and ordered (the pieces themselves always cover each
+document once); the same partitions give the same windows, so a task that runs again repeats its part.
+
+Defined cases: null text counts as empty and has its end id alone; a very long text fills windows of its own; repeated
+rows are packed each by itself; of windows of equal fill the one opened last is filled first; rows without doc_id give
+pieces without it; an empty table gives no pieces. Only doc_id and text are read, so other columns do no harm.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@
 chunks end to end. Chunks are encoded in batches by the library and kept as little-endian 32-bit ids in a table per
 Python worker, which is emptied when it holds ``MOST`` chunks. ``WordEncoder.exact`` tells by the file whether chunks
 may be encoded apart; where they may not, whole texts are encoded. Chunks of ASCII and Latin-1 letters go
-to the library's merge model directly, piece by piece, which spares its normaliser and splitter; the encoder compares
-both ways on sample words when it is built and falls back to the long way if they ever differ.
+to the library's merge model directly, piece by piece, which spares its normaliser and splitter. That short way is taken
+only for a file whose normaliser composes, folds white space and lowers case, and whose splitter is a pattern, which is
+read from the file; the encoder compares both ways on sample words when it is built and falls back if they ever differ.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,8 +32,6 @@ def default_path() -> str:
 
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: The file's split pattern for lower-case text of those characters; letters alone, the most frequent case, first.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _SAMPLE = ["don't", "I'LL", "'sea", "a'b'c", "x1y22", "+1", "(555)", "***$$", "http://a.example/b?c=1", "a@b.c", "|", "--", "É'D9", "'", "''s", "won't've", "the", "Word", "strasse.", "Straße", "êtes", "NIÑO,", "Ciónmente;", "über?!", "ZZZ!!", "a", "É", "ÿ.", "thereof..."]
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level spelling: printable bytes stand for themselves, the others for the code points from 256 on.
@@ -67,8 +67,9 @@ class WordEncoder:
         self.exact = self._splits_at_blanks(spec)
         self.chunks = _Chunks(self)
         self.pieces: dict[str, bytes] = {}
-        self.plain = self.exact
-        self.plain = self.exact and [self.encode_chunk(x) for x in _SAMPLE] == self._encode(_SAMPLE)
+        self.split = self._splitter(spec)
+        self.plain = self.exact and self.split is not None
+        self.plain = self.plain and [self.encode_chunk(x) for x in _SAMPLE] == self._encode(_SAMPLE)
 
     @staticmethod
     def _splits_at_blanks(spec: dict) -> bool:
@@ -79,6 +80,23 @@ class WordEncoder:
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in added)
         return plain and '"Removed"' in split and "[^\\\\s" in split and '"add_prefix_space": false' in split and model.get("end_of_word_suffix") == "</w>" and spec.get("post_processor") is None
 
+    @staticmethod
+    def _splitter(spec: dict) -> regex.Pattern | None:
+        """The file's split pattern, if its normaliser and splitter are of the form that the short way stands for."""
+        normal = (spec.get("normalizer") or {}).get("normalizers") or []
+        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if [n["type"] for n in normal] != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
+            return None
+        blank, (split, level) = normal[1], parts
+        if blank["pattern"] != {"Regex": r"\s+"} or blank["content"] != " " or "Regex" not in split["pattern"]:
+            return None
+        if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+            return None
+        model = spec.get("model") or {}
+        if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout"):
+            return None
+        return regex.compile(split["pattern"]["Regex"])
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -95,7 +113,7 @@ class WordEncoder:
     def encode_chunk(self, chunk: str) -> bytes:
         if not self.plain or "<|" in chunk or not _PLAIN.fullmatch(chunk):
             return self._encode([chunk])[0]
-        pieces = _SPLIT.findall(chunk.lower())
+        pieces = self.split.findall(chunk.lower())
         return self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self._piece(p) for p in pieces])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -32,6 +32,28 @@ def test_encoder_equals_library(library):
     assert np.frombuffer(other.encode([" a b"])[0], "<u4").tolist() == other.tokenizer.encode(" a b", add_special_tokens=False).ids
 
 
+def test_short_way_is_for_files_it_knows(library, tmp_path):
+    """Another normaliser or split pattern: ids still are the library's."""
+    import json
+    import random
+
+    with open(tokens.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcXYZ'019é.-ß") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    text = " ".join(words)
+    other = json.loads(json.dumps(spec))
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+".replace("\\\\", "\\")
+    cased = json.loads(json.dumps(spec))
+    cased["normalizer"]["normalizers"] = cased["normalizer"]["normalizers"][:2]
+    for k, s in enumerate((spec, other, cased)):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(s), encoding="utf-8")
+        e = tokens.WordEncoder(str(path))
+        assert e.plain == (k < 2)
+        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, library, tmp_path):
     df = table(spark, TEXTS)
     got = sorted(map(tuple, tokenfile.token_digests(df).collect()))
