@@ -24,6 +24,7 @@ class ProfileConfig:
     abundance: str = "depth"
     fmt: str = "tsv"
     no_cutoffs: bool = False
+    threads: int = 1
 
     def resolved(self) -> ProfileConfig:
         """Defaults filled in; raises ValueError on settings that do not go together."""

@@ -58,18 +58,19 @@ def closure(walked: DataFrame) -> DataFrame:
 def reads_by_taxon(alignments: DataFrame, taxa: DataFrame, ancestors: DataFrame, limit: int = 0) -> DataFrame:
     """One row per read and selected taxon above its fragment's taxon; the first ``limit`` in file order for each taxon.
 
-    The join is on (fragment taxid) through the closure of the taxids present; ``row_number <= limit`` is pruned per
+    Reads that cannot be reversed are left out first, so they take no place under the limit. The join is on (fragment taxid) through the closure of the taxids present; ``row_number <= limit`` is pruned per
     task by Spark's window group limit before the shuffle, so a taxon with a third of all reads ships little.
     """
     wanted = ancestors.join(taxa, ancestors.ancestor == taxa.tax).select("taxid", "tax", "level", "tax_name")
-    rows = alignments.join(wanted, "taxid")
-    if limit:
-        w = Window.partitionBy("tax").orderBy("line_no")
-        rows = rows.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= limit).drop("rn_")
     turned = F.col("flag").bitwiseAND(16) > 0
     seq = F.when(turned, X.revcomp(F.col("seq"))).otherwise(F.col("seq"))
     qual = F.when(turned, F.reverse("qual")).otherwise(F.col("qual"))
-    return rows.select("line_no", "qname", "flag", "rname", "region_start", "region_end", "tax", "level", "tax_name", seq.alias("out_seq"), qual.alias("out_qual")).where("out_seq is not null")
+    reads = alignments.select("taxid", "line_no", "qname", "flag", "rname", "region_start", "region_end", seq.alias("out_seq"), qual.alias("out_qual")).where("out_seq is not null")
+    rows = reads.join(wanted, "taxid").drop("taxid")
+    if limit:
+        w = Window.partitionBy("tax").orderBy("line_no")
+        rows = rows.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= limit).drop("rn_")
+    return rows
 
 
 def record(fmt: str) -> Column:

@@ -37,13 +37,19 @@ def by_rank(strains: DataFrame, group_by: str = "name") -> DataFrame:
     rows = strains.withColumn("x", F.explode(at)).select("*", "x.*").drop("x", "lineage").withColumn("sig_no", F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.col("db_level")).cast("int"))
     key = "name" if group_by == "name" else "lvl_taxid"
     # strains are rows of their own, as are groups of any other rank
-    keys = ["level_no", "level", key, F.when(F.col("level") == "strain", F.col("taxid")).alias("own_")]
-    first = lambda c: F.min_by(c, "taxid").alias(c)
-    best = F.min_by(F.struct("ani_naive", "ani_low", "ani_high"), F.struct(-F.col("ani_ci95"), F.col("taxid")))
-    notes = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("taxid", "note"))), lambda x: x["note"])), "; ")
-    out = rows.groupBy(*keys).agg(
-        *[first(c) for c in ("name", "lvl_taxid", "parent_name", "parent_taxid") if c != key], *[F.sum(c).alias(c) for c in _SUMS], F.max("best_sig_cov").alias("best_sig_cov"), F.max("sig_no").alias("sig_no"),
-        F.max("ani_ci95").alias("ani_ci95"), F.min("zscore").alias("zscore"), best.alias("ani"), notes.alias("note"),
+    rows = rows.withColumn("own_", F.when(F.col("level") == "strain", F.col("taxid")))
+    keys = ["level_no", "level", key, "own_"]
+    names = [c for c in ("name", "lvl_taxid", "parent_name", "parent_taxid") if c != key]
+    # one row per group and distinct note first, so that no group gathers the notes of all its strains
+    first = F.struct(-F.col("ani_ci95"), F.col("taxid"))
+    parts = rows.groupBy(*keys, "note").agg(
+        F.min("taxid").alias("t_"), *[F.min_by(c, "taxid").alias(c) for c in names], *[F.sum(c).alias(c) for c in _SUMS], F.max("best_sig_cov").alias("best_sig_cov"), F.max("sig_no").alias("sig_no"),
+        F.max("ani_ci95").alias("ani_ci95"), F.min("zscore").alias("zscore"), F.min_by(F.struct("ani_naive", "ani_low", "ani_high"), first).alias("ani"), F.min(first).alias("first_"),
+    )
+    notes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_", "note"))), lambda x: x["note"]), "; ")
+    out = parts.groupBy(*keys).agg(
+        *[F.min_by(c, "t_").alias(c) for c in names], *[F.sum(c).alias(c) for c in _SUMS], F.max("best_sig_cov").alias("best_sig_cov"), F.max("sig_no").alias("sig_no"),
+        F.max("ani_ci95").alias("ani_ci95"), F.min("zscore").alias("zscore"), F.min_by("ani", "first_").alias("ani"), notes.alias("note"),
     )
     return out.withColumns({"ani_naive": F.col("ani.ani_naive"), "ani_low": F.col("ani.ani_low"), "ani_high": F.col("ani.ani_high")}).drop("ani", "own_")
 

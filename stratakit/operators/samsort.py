@@ -23,5 +23,16 @@ def header(refs: DataFrame) -> DataFrame:
 
 def coordinate_sorted(lines: DataFrame) -> DataFrame:
     """Lines by reference name, position and line number."""
+    return _keyed(lines).orderBy("rname", "pos", "line_no")
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
-    return lines.where(~F.col("value").startswith("@")).withColumns({"rname": F.get(f, F.lit(2)), "pos": F.get(f, F.lit(3)).try_cast("long")}).orderBy("rname", "pos", "line_no")
+    return lines.where(~F.col("value").startswith("@")).withColumns({"rname": F.get(f, F.lit(2)), "pos": F.get(f, F.lit(3)).try_cast("long")})
+
+
+def sorted_file(lines: DataFrame) -> DataFrame:
+    """``value``: header lines, then the lines in coordinate order, by one range sort."""
+    top = header(references(lines).where("length is not null")).select("value", F.lit(0).alias("part_"), "rname", F.lit(None).cast("long").alias("pos"), F.lit(None).cast(lines.schema["line_no"].dataType).alias("line_no"))
+    rows = _keyed(lines).select("value", F.lit(1).alias("part_"), "rname", "pos", "line_no")
+    return top.unionByName(rows).orderBy("part_", "rname", "pos", "line_no").select("value")

@@ -1,6 +1,6 @@
 """Taxonomy lookups on ancestor paths.
 
-``walk`` gives each id the array of its ancestors from itself to the root, in blocks of eight joins on the parent id;
+``walk`` gives each id the array of its ancestors from itself to the root, in blocks of ten joins on the parent id;
 every lookup is then an expression on that array, so one walk answers all of them. Ids are strings; ids replaced by a
 merge are resolved first (one hop); ids that are not in the taxonomy have a null path and answer ``unknown``.
 """
@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakit.session import checkpointed
+from stratakit.session import staged
 from stratakit.sources.tables import MAJOR_RANKS
 
-_STEP = 8
+_STEP = 10
 RANKS = list(MAJOR_RANKS)
 
 
@@ -31,7 +31,7 @@ def walk(ids: DataFrame, nodes: DataFrame, merged: DataFrame | None = None, max_
         for _ in range(_STEP):
             df = df.join(at, df.next_ == at.t_, "left").withColumns({"path": F.when(F.col("t_").isNotNull(), F.array_append("path", F.col("node_"))).otherwise(F.col("path")), "next_": F.when(F.col("parent") != F.col("t_"), F.col("parent"))}).drop("t_", "parent", "node_")
         steps += _STEP
-        df = checkpointed(df)
+        df, _ = staged(df, "walk")
         if df.where("next_ is not null").isEmpty():
             break
         if steps >= max_depth:
@@ -112,14 +112,14 @@ def _underscored(x: Column, on: bool) -> Column:
     return F.replace(x, F.lit(" "), F.lit("_")) if on else x
 
 
-def _abbr(r: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(v) for kv in MAJOR_RANKS.items() for v in kv])[r], r)
+def _abbr(r: Column, ranks: dict[str, str] | None = None) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(v) for kv in (ranks or MAJOR_RANKS).items() for v in kv])[r], r)
 
 
-def full_lineage(sep: str = "|", abbreviate: bool = False, underscore: bool = True) -> Column:
+def full_lineage(sep: str = "|", abbreviate: bool = False, underscore: bool = True, ranks: dict[str, str] | None = None) -> Column:
     """All ranks below the root, from the top; empty for unknown ids."""
     items = F.reverse(F.filter("path", lambda x: ~_is_root(x)))
-    shown = (lambda r: _abbr(r)) if abbreviate else (lambda r: r)
+    shown = (lambda r: _abbr(r, ranks)) if abbreviate else (lambda r: r)
     texts = F.transform(items, (lambda x: F.concat(shown(x["rank"]), F.lit("__"), x["name"])) if sep == ";" else (lambda x: F.concat_ws("|", shown(x["rank"]), x["tid"], x["name"])))
     return F.coalesce(_underscored(F.array_join(texts, sep), underscore), F.lit(""))
 
@@ -130,8 +130,15 @@ def link_map() -> Column:
     return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,string>"))
 
 
-def major_lineage(df: DataFrame, underscore: bool = False) -> DataFrame:
-    """Adds ``lineage``: one struct (rank, taxid, name) for each major rank from superkingdom down.
+def lineage_type() -> Column:
+    """Struct (taxid, name) of the ancestor just below species, the taxon's group or subtype; null where there is none."""
+    tid = taxon_type()
+    hit = F.get(F.filter("path", lambda x: x["tid"] == tid), F.lit(0))
+    return F.when(F.col("path").isNotNull() & (tid != "0"), F.struct(hit["tid"].alias("taxid"), hit["name"].alias("name")))
+
+
+def major_lineage(df: DataFrame, underscore: bool = False, guess_type: bool = False, ranks: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``lineage``: one struct (rank, taxid, name) for each major rank from superkingdom down; ``guess_type`` adds ``type``.
 
     Missing ranks above the taxon's own get the name ``<next lower name> - no_<abbr>_rank`` and taxid '0'; ranks below
     it, and any missing rank of a taxon without major rank, are null.
@@ -147,7 +154,7 @@ def major_lineage(df: DataFrame, underscore: bool = False) -> DataFrame:
         r = RANKS[k]
         here = F.col(f"at_{r}")
         fill = (F.col("level_") > 0) & (F.lit(k + 1) <= F.col("level_"))
-        label = F.concat(last, F.lit(f" - no_{MAJOR_RANKS[r]}_rank"))
+        label = F.concat(last, F.lit(f" - no_{(ranks or MAJOR_RANKS)[r]}_rank"))
         value = F.when(here["name"].isNotNull(), F.struct(F.lit(r).alias("rank"), here["taxid"].alias("taxid"), here["name"].alias("name"))).when(fill, F.struct(F.lit(r).alias("rank"), F.lit("0").alias("taxid"), label.alias("name")))
         df = df.withColumn(f"m_{r}", value)
         df = df.withColumn(f"last_{r}", F.when(fill, F.col(f"m_{r}")["name"]).otherwise(last))
@@ -155,26 +162,35 @@ def major_lineage(df: DataFrame, underscore: bool = False) -> DataFrame:
     shown = lambda c: c.withField("name", _underscored(c["name"], underscore))
     lineage = F.when(F.col("path").isNotNull(), F.array(*[shown(F.col(f"m_{r}")) for r in RANKS]))
     keep = [c for c in df.columns if not c.startswith(("at_", "m_", "last_")) and c not in ("rank_", "own_", "level_")]
-    return df.select(*keep, lineage.alias("lineage"))
+    return df.select(*keep, lineage.alias("lineage"), *([lineage_type().alias("type")] if guess_type else []))
 
 
 def _rank_is(r: str):
     return lambda x: x["rank"] == r
 
 
-def lineage_text(sep: str = "|", strain: bool = False) -> Column:
+def lineage_text(sep: str = "|", strain: bool = False, ranks: dict[str, str] | None = None) -> Column:
     """The ``lineage`` column as text; empty for unknown ids."""
     items = F.filter("lineage", lambda x: x["name"].isNotNull() & (F.lit(strain) | (x["rank"] != "strain")))
-    texts = F.transform(items, (lambda x: F.concat(_abbr(x["rank"]), F.lit("__"), x["name"])) if sep == ";" else (lambda x: F.concat_ws("|", x["rank"], x["taxid"], x["name"])))
+    texts = F.transform(items, (lambda x: F.concat(_abbr(x["rank"], ranks), F.lit("__"), x["name"])) if sep == ";" else (lambda x: F.concat_ws("|", x["rank"], x["taxid"], x["name"])))
     return F.coalesce(F.array_join(texts, sep), F.lit(""))
 
 
-def lca(df: DataFrame, group: str) -> DataFrame:
-    """Deepest major rank at which all rows of a group have one real taxid; else 1. ``df`` has ``lineage``."""
-    ids = lambda k: F.coalesce(F.get("lineage", F.lit(k))["taxid"], F.lit("0"))
-    aggs = [F.when((F.min(ids(k)) == F.max(ids(k))) & (F.min(ids(k)) != "0"), F.min(ids(k))).alias(f"r{k}") for k in range(len(RANKS))]
-    out = df.groupBy(group).agg(*aggs)
-    return out.select(group, F.coalesce(*[F.col(f"r{k}") for k in reversed(range(len(RANKS)))], F.lit("1")).alias("lca"))
+def lca(hits: DataFrame, lineages: DataFrame, group: str) -> DataFrame:
+    """(group, lca): deepest major rank at which all ``taxid`` of a group have one real id; else 1.
+
+    hits: the group column and taxid; lineages: taxid and ``lineage``. Ids are compared as 64-bit hashes, so the groups
+    are aggregated over longs; the id itself is looked up behind that.
+    """
+    real = lambda k: F.coalesce(F.nullif(F.get("lineage", F.lit(k))["taxid"], F.lit("0")), F.lit("0"))
+    keyed = lineages.select("taxid", F.xxhash64("taxid").alias("any_"), *[F.xxhash64(real(k)).alias(f"r{k}") for k in range(len(RANKS))])
+    ends = [f(f"r{k}").alias(f"{n}{k}") for k in range(len(RANKS)) for n, f in (("lo", F.min), ("hi", F.max))]
+    out = hits.join(keyed, "taxid").groupBy(group).agg(F.min("any_").alias("any_"), *ends)
+    none = F.xxhash64(F.lit("0"))
+    level = F.coalesce(*[F.when((F.col(f"lo{k}") == F.col(f"hi{k}")) & (F.col(f"lo{k}") != none), F.lit(k)) for k in reversed(range(len(RANKS)))])
+    # any one of the group's taxids tells the id at that rank
+    named = lineages.select(F.xxhash64("taxid").alias("any_"), "lineage")
+    return out.select(group, "any_", level.alias("level_")).join(named, "any_").select(group, F.coalesce(F.get("lineage", F.col("level_"))["taxid"], F.lit("1")).alias("lca"))
 
 
 def descendants(ids: DataFrame, nodes: DataFrame, target: str | None = None, max_depth: int = 256) -> DataFrame:
@@ -184,14 +200,14 @@ def descendants(ids: DataFrame, nodes: DataFrame, target: str | None = None, max
     front = step(ids.select("query", F.col("query").alias("at_")))
     if target is None:
         return front.select("query", F.col("at_").alias("tid"))
-    found, out = None, checkpointed(front)
+    found, (out, _) = None, staged(front, "front")
     for _ in range(max_depth):
         hit = out.where(F.col("rank_") == target).select("query", F.col("at_").alias("tid"))
         found = hit if found is None else found.unionByName(hit)
         rest = out.where(F.col("rank_") != target)
         if rest.isEmpty():
             return found
-        out = checkpointed(step(rest))
+        out, _ = staged(step(rest), "front")
     raise ValueError("the taxonomy is deeper than max_depth or has a cycle")
 
 
@@ -206,39 +222,91 @@ def acc2taxid(accessions: DataFrame, table: DataFrame) -> DataFrame:
     return keyed.join(best, "accession", "left").select("acc", "taxid")
 
 
-def names_like(queries: DataFrame, nodes: DataFrame, expand: bool = True, first: int = 3) -> DataFrame:
-    """(query, tid, name, rn): names equal to the query or, with ``expand``, containing it; first N in order of tid length and tid."""
-    hit = F.col("name").contains(F.col("query")) if expand else F.col("name") == F.col("query")
-    w = Window.partitionBy("query").orderBy(F.length("tid"), "tid")
-    return queries.join(nodes.select("tid", "name"), hit).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= first)
+def _grams(text: Column, n: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
 
 
-def names_fuzzy(queries: list[str], nodes: DataFrame, cutoff: float = 0.7, first: int = 3) -> DataFrame:
-    """(query, tid, name, score): closest names by matching-block ratio, best first, at most ``first`` for each query.
+def names_like(queries: DataFrame, nodes: DataFrame, expand: bool = True, first: int | None = 3) -> DataFrame:
+    """(query, tid, name, rn): names equal to the query or, with ``expand``, containing it; first N in order of tid length and tid.
 
-    The ratio is at most 2 * min / (sum of lengths), which prunes names by length before Python sees them.
+    A name that contains the query has all of its letter triples (pairs or letters, for shorter queries). Each query is
+    joined on its rarest one and verified behind the join, so no query meets all names. An empty query finds nothing.
     """
-    import difflib
-
-    import pandas as pd
-
-    longest = nodes.sparkSession.createDataFrame([(q,) for q in queries], "query string")
-    fits = 2.0 * F.least(F.length("query"), F.length("name")) >= cutoff * (F.length("query") + F.length("name"))
-    pairs = nodes.select("tid", "name").join(F.broadcast(longest), fits)
+    names = nodes.select("tid", "name")
+    if expand:
+        asked = queries.select("query").distinct().where("query <> ''").withColumn("size_", F.least(F.lit(3), F.length("query")))
+        # one to three sizes
+        sizes = [r.size_ for r in asked.select("size_").distinct().collect()]
+        grams = F.flatten(F.array(*[F.when(F.length("name") >= n, _grams(F.col("name"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes] or [F.array().cast("array<string>")]))
+        places = names.select("tid", "name", F.explode(grams).alias("gram_"))
+        often = places.groupBy("gram_").agg(F.count("*").alias("often_"))
+        parts = asked.select("query", F.size(_grams(F.col("query"), F.col("size_"))).alias("parts_"), F.explode(_grams(F.col("query"), F.col("size_"))).alias("gram_")).join(often, "gram_")
+        # a query with a triple that no name has is contained in none
+        rarest = parts.groupBy("query", "parts_").agg(F.count("*").alias("known_"), F.min_by("gram_", F.struct("often_", "gram_")).alias("gram_")).where("parts_ = known_")
+        found = rarest.select("query", "gram_").join(places, "gram_").where(F.col("name").contains(F.col("query"))).select("query", "tid", "name")
+        found = queries.join(found, "query")
+    else:
+        found = queries.join(names, F.col("query") == F.col("name"))
+    w = Window.partitionBy("query").orderBy(F.length("tid"), "tid")
+    ranked = found.withColumn("rn", F.row_number().over(w))
+    return ranked if first is None else ranked.where(F.col("rn") <= first)
 
-    def ratio(a, b):
-        matcher, out = difflib.SequenceMatcher(), []
-        for x, y in zip(a, b, strict=True):
-            matcher.set_seq2(x)
-            matcher.set_seq1(y)
-            ok = matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff
-            out.append(matcher.ratio() if ok else 0.0)
-        return pd.Series(out, dtype="float64")
 
-    # hints as objects: this module's annotations are text, which the type inference cannot read
-    ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    ratio = F.pandas_udf(ratio, "double")
+def names_fuzzy(queries: list[str], names: DataFrame, cutoff: float = 0.7, first: int | None = 3) -> DataFrame:
+    """(query, tid, name, score): closest names by matching-block ratio, best first, at most ``first`` for each query.
 
-    scored = pairs.withColumn("score", ratio("query", "name")).where(F.col("score") >= cutoff)
+    names: tid, name, e.g. all names of a dump. The few queries go with the task; the ratio is at most
+    2 * min / (sum of lengths), which spares most names the comparison.
+    """
+    asked = sorted(set(queries))
+
+    def score(frames):
+        import difflib
+
+        import pandas as pd
+
+        for pdf in frames:
+            out = []
+            for q in asked:
+                matcher = difflib.SequenceMatcher()
+                matcher.set_seq2(q)
+                for tid, name in zip(pdf.tid, pdf.name, strict=True):
+                    if name is None or 2 * min(len(q), len(name)) < cutoff * (len(q) + len(name)):
+                        continue
+                    matcher.set_seq1(name)
+                    if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (r := matcher.ratio()) >= cutoff:
+                        out.append((q, tid, name, r))
+            yield pd.DataFrame(out, columns=["query", "tid", "name", "score"])
+
+    scored = names.select("tid", "name").mapInPandas(score, "query string, tid string, name string, score double")
+    if first is None:
+        return scored
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "name", "tid")
     return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= first).drop("rn")
+
+
+def name_to_taxid(queries: list[str], nodes: DataFrame, names: DataFrame | None = None, merged: DataFrame | None = None, rank_is: str | None = None, superkingdom: str | None = None, fuzzy: bool = True, cutoff: float = 0.7, first: int = 3, expand: bool = True) -> DataFrame:
+    """(query, tid, name, place): at most ``first`` ids for each name, of one rank and superkingdom if these are given.
+
+    expand: the closest of all ``names`` (tid, name; the nodes' own if None), equal ones alone unless ``fuzzy``; the
+    closest ``first`` are found before the filters. Otherwise scientific names that hold the query (``fuzzy``) or equal it.
+    """
+    spark = nodes.sparkSession
+    if expand:
+        found = names_fuzzy(queries, nodes if names is None else names, cutoff if fuzzy else 1.0, first)
+        order = [F.col("score").desc(), F.col("name"), F.col("tid")]
+    else:
+        asked = spark.createDataFrame([(q,) for q in sorted(set(queries))], "query string")
+        found = names_like(asked, nodes, fuzzy, None).drop("rn")
+        order = [F.length("tid"), F.col("tid")]
+    if rank_is or superkingdom:
+        found, _ = staged(found, "names")
+        walked = walk(found.select(F.col("tid").alias("query")).distinct(), nodes, merged)
+        facts = walked.select(F.col("query").alias("tid"), rank().alias("rank_"), name_on_rank("superkingdom").alias("top_"))
+        found = found.join(facts, "tid")
+        if rank_is:
+            found = found.where(F.col("rank_") == rank_is)
+        if superkingdom:
+            found = found.where(F.col("top_") == superkingdom)
+    w = Window.partitionBy("query").orderBy(*order)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= first).select("query", "tid", "name", "place")

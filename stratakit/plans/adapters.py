@@ -74,4 +74,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, SAM_SQL).select(F.col("line_no").cast("long").alias("line_no"), "value")
+    """The alignments, spread over the cluster: a table of one row group would be made and parsed by one task."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    parts = spark.sparkContext.defaultParallelism
+    if items.rdd.getNumPartitions() < 2 * parts:
+        items = items.repartition(parts, "l_orderkey")
+    return spark.sql(_named(SAM_SQL, "lineitem"), t_lineitem=items).select(F.col("line_no").cast("long").alias("line_no"), "value")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratakit.functions import exprs as X
 from stratakit.operators import extract, profile, rollup, samsort, taxonomy
 from stratakit.operators.rollup import Cutoffs
 from stratakit.plans import adapters, oracles
-from stratakit.session import checkpointed
+from stratakit.session import staged
 from stratakit.sources import sam
 from stratakit.sources.tables import last_wins
 from stratakit.sources.taxonomy import lineage_nodes, overlay
@@ -44,11 +44,15 @@ def _walk(spark, d) -> DataFrame:
     return taxonomy.walk(adapters.view(spark, d, adapters.IDS_SQL), adapters.nodes(spark, d), adapters.view(spark, d, adapters.MERGED_SQL))
 
 
-def _report(spark, d) -> DataFrame:
+def _report(spark, d, strains: DataFrame | None = None, lineages: DataFrame | None = None) -> DataFrame:
     # a row per strain, read three times: by the walk, the roll-up and the total
-    strains = checkpointed(_strains(spark, d))
-    lineages = taxonomy.major_lineage(taxonomy.walk(strains.select(F.col("taxid").alias("query")), adapters.nodes(spark, d))).select(F.col("query").alias("taxid"), "lineage")
-    return rollup.report(strains.join(lineages, "taxid"), CUTOFFS)
+    strains = staged(_strains(spark, d), "strains")[0] if strains is None else strains
+    return rollup.report(strains.join(_lineages(spark, d, strains) if lineages is None else lineages, "taxid"), CUTOFFS)
+
+
+def _lineages(spark, d, ids: DataFrame) -> DataFrame:
+    walked = taxonomy.walk(ids.select(F.col("taxid").alias("query")).distinct(), adapters.nodes(spark, d))
+    return taxonomy.major_lineage(walked).select(F.col("query").alias("taxid"), "lineage", "path")
 
 
 def _lower(full: DataFrame, columns) -> DataFrame:
@@ -185,9 +189,8 @@ def major_lineage(spark, d):
 @query
 def lowest_common_ancestor(spark, d):
     """Of the strains that each read's lines hit."""
-    rows = _parsed(spark, d, 0.0, False).select("qname", "taxid").distinct()
-    lineages = taxonomy.major_lineage(taxonomy.walk(rows.select(F.col("taxid").alias("query")).distinct(), adapters.nodes(spark, d))).select(F.col("query").alias("taxid"), "lineage")
-    return taxonomy.lca(rows.join(lineages, "taxid"), "qname")
+    hits, _ = staged(_parsed(spark, d, 0.0, False).select("qname", "taxid").distinct(), "hits")
+    return taxonomy.lca(hits, _lineages(spark, d, hits), "qname")
 
 
 @query
@@ -253,10 +256,13 @@ def extract_reads_fastq(spark, d):
 
 
 def _extracted(spark, d):
-    counted = _counted(spark, d)
-    ids = counted.select(F.col("taxid").alias("query")).distinct()
-    anc = extract.closure(taxonomy.walk(ids, adapters.nodes(spark, d)))
-    return extract.reads_by_taxon(counted, extract.taxa_of(_report(spark, d), None), anc, 20)
+    # the lines are parsed once: strains, their walk and the reads all come from the staged columns
+    wanted = ("line_no", "qname", "flag", "rname", "taxid", "region_start", "region_end", "seq", "qual", "nm", "ins_len", "del_len", "read_len")
+    counted, _ = staged(_counted(spark, d).select(*wanted), "alignments")
+    strains, _ = staged(profile.strains(profile.fragments(counted), adapters.view(spark, d, adapters.STATS_SQL)), "strains")
+    lineages, _ = staged(_lineages(spark, d, strains), "lineages")
+    ancestors = extract.closure(lineages.select(F.col("taxid").alias("query"), "path"))
+    return extract.reads_by_taxon(counted, extract.taxa_of(_report(spark, d, strains, lineages), None), ancestors, 20)
 
 
 @query
@@ -277,11 +283,40 @@ def distinct_refs(spark, d):
 
 @query
 def coordinate_sort(spark, d):
-    """Each line's place in coordinate order, within its reference."""
-    from pyspark.sql import Window
+    """Each line's number in coordinate order, from the files that the sorted SAM is written to."""
+    from stratakit.session import work_path
+    from stratakit.sinks import reports
+
+    path = work_path(spark, "sorted")
+    reports.write_sorted_sam(adapters.lines(spark, d), path)
+    rows = sam.read_sam(spark, path).select("line_no", F.split("value", "\t").alias("f"))
+    before = rows.groupBy("line_no.file").agg(F.count("*").alias("n"))
+    numbered = rows.join(before.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base")), F.col("line_no.file") == F.col("file"))
+    place = F.col("base") + F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    return numbered.select(F.get("f", F.lit(0)).alias("qname"), F.get("f", F.lit(2)).alias("rname"), F.get("f", F.lit(3)).cast("long").alias("pos"), place.alias("place"))
+
+
+@query
+def report_order(spark, d):
+    """Rows of the report in the order they are written (shares equal to nine digits are ties)."""
+    full, _ = staged(_report(spark, d), "report")
+    at = Window.orderBy("level_no", F.round("ABUNDANCE", 9).desc(), "NAME", "TAXID")
+    return full.select(F.col("LEVEL").alias("level"), F.col("NAME").alias("name"), F.col("TAXID").alias("taxid"), F.row_number().over(at).alias("place"))
 
-    rows = samsort.coordinate_sorted(adapters.lines(spark, d))
-    return rows.select("line_no", F.row_number().over(Window.partitionBy("rname").orderBy("pos", "line_no")).alias("place"))
+
+@query
+def lineage_types(spark, d):
+    """The group or subtype below species of every id."""
+    found = taxonomy.major_lineage(_walk(spark, d), guess_type=True)
+    return found.where("type is not null").select("query", F.col("type.taxid").alias("type_taxid"), F.col("type.name").alias("type_name"))
+
+
+@query
+def name_filters(spark, d):
+    """Scientific names that hold a nation's key text, of one rank and superkingdom."""
+    asked = [f"NATION_{k}" for k in range(25)]
+    found = taxonomy.name_to_taxid(asked, adapters.nodes(spark, d), rank_is="family", superkingdom="realm ASIA", first=2, expand=False)
+    return found.select("query", "tid", "name", "place")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stratakit.functions.exprs import complements
 from stratakit.plans import adapters as A
 
 LINEAGE_SQL = """
@@ -123,7 +124,8 @@ def build(match_factor: float, cut) -> dict[str, str]:
     doubles = {"ani_ci95", "best_sig_cov", "depth", "rel_abundance", "read_idt", "ani_naive", "sig_cov", "covered_sig_depth", "covered_mapped_sig_cov", "zscore", "genomic_content_est", "abundance", "rel_abundance_depth", "rel_abundance_gc"}
     pick = lambda names: ", ".join(f"round({c}, {3 if c == 'genomic_content_est' else 9}) as {c}" if c in doubles else c for c in names)
     shown = "where note not like '%Filtered out%' and note not like '%Not shown%'"
-    codes, pairs = "ACGTUNRYSWKMBDHVacgtunryswkmbdhv", "TGCAANYRSWMKVHDBtgcaanyrswmkvhdb"
+    table = complements()
+    codes, pairs = "".join(table), "".join(table.values())
     r6 = lambda *names: ", ".join(f"round({c}, {3 if c == 'genomic_content_est' else 9}) as {c}" for c in names)
     fix = "regexp_replace(name, ' ', '_', 'g')"
     head = "qname || case when flag & 64 > 0 then '.1' when flag & 128 > 0 then '.2' else '' end || '|' || rname || ':' || region_start || '..' || region_end || ' LEVEL=' || level || ' NAME=' || tax_name || ' TAXID=' || tax"
@@ -185,7 +187,13 @@ def build(match_factor: float, cut) -> dict[str, str]:
         "text_search": f"with raw as ({A.SAM_SQL}), f as (select line_no, value, string_split(value, chr(9)) as f from raw) select line_no, f[1] as qname, f[2] as flag, f[3] as rname, f[6] as cigar, f[10] as seq, f[11] as qual from f where regexp_matches(value, '(\\|101\\b|\\|10[35]\\b)')",
         "reverse_complement": f"{with_}{alignments(0)} select line_no, translate(reverse(seq), '{codes}', '{pairs}') as revcomp, reverse(qual) as qual_reversed, case when flag & 64 > 0 then '.1' when flag & 128 > 0 then '.2' else '' end as mate, case when flag & 128 > 0 then qname || '/2' else qname end as qkey from aln",
         "distinct_refs": f"with raw as ({A.SAM_SQL}), n as (select distinct string_split(value, chr(9))[3] as rname from raw) select rname, try_cast(string_split(rname, '|')[3] as bigint) - try_cast(string_split(rname, '|')[2] as bigint) + 1 as length from n",
-        "coordinate_sort": f"with raw as ({A.SAM_SQL}) select line_no, row_number() over (partition by string_split(value, chr(9))[3] order by cast(string_split(value, chr(9))[4] as bigint), line_no)::int as place from raw",
+        "coordinate_sort": f"with raw as ({A.SAM_SQL}), f as (select line_no, string_split(value, chr(9)) as f from raw), r as (select line_no, f[1] as qname, f[3] as rname, cast(f[4] as bigint) as pos from f) select qname, rname, pos, row_number() over (order by rname, pos, line_no)::bigint as place from r",
+        "report_order": f"{with_}{report} select level, name, taxid, row_number() over (order by {_NO.format('level')}, round(abundance, 9) desc, name, taxid)::int as place from full_",
+        "lineage_types": f"""{with_}{tree}, sp as (select query, min(dist) as d from up where dist > 0 and rank = 'species' group by query)
+            select sp.query, up.tid as type_taxid, up.name as type_name from sp join up on sp.query = up.query and up.dist = sp.d - 1 where sp.d > 1""",
+        "name_filters": f"""{with_}{tree}, w as (select 'NATION_' || unnest(range(25)) as query)
+            select w.query, n.tid, n.name, row_number() over (partition by w.query order by length(n.tid), n.tid)::int as place from w join nodes n on contains(n.name, w.query)
+            join up s on s.query = n.tid and s.rank = 'superkingdom' and s.name = 'realm ASIA' where n.rank = 'family' qualify place <= 2""",
         "last_row_wins": "select cast(o_custkey as string) as tid, o_orderpriority as name from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1",
     }
     return out

@@ -1,13 +1,14 @@
-"""Session helpers: a local session for tests and shipping this package to executors."""
+"""Session helpers: a local session for tests, tables staged in the shared folder, and shipping this package to executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -22,12 +23,36 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return spark
 
 
-def checkpointed(df):
-    """``df`` written to the checkpoint folder, which all executors share; a temporary folder is set where there is none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratakit-"))
-    return df.checkpoint()
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    A local session that names none gets a temporary folder; on a cluster the setting is needed.
+    """
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir()
+    if base is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stratakit-"))
+        base = sc.getCheckpointDir()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts lineage; also gives the path."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that no later plan reads."""
+    sc = spark.sparkContext
+    for path in paths:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:

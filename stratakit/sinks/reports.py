@@ -4,28 +4,39 @@ from __future__ import annotations
 
 import csv
 import json
+import shutil
+import subprocess
+import sys
+import time
 from collections.abc import Iterable
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratakit.operators import samsort
 from stratakit.operators.rollup import SUMMARY, ordered, qualified
+from stratakit.sources.sam import file_order
 
 
 def _shown(value) -> str:
     return "" if value is None else f"{value:.6f}" if isinstance(value, float) else str(value)
 
 
+def _rows(rows: Iterable, columns: list[str], f: TextIO, fmt: str) -> None:
+    if fmt == "csv":
+        out = csv.writer(f, quoting=csv.QUOTE_NONNUMERIC, lineterminator="\n")
+        out.writerow(columns)
+        out.writerows([float(_shown(v)) if isinstance(v, float) else "" if v is None else v for v in row] for row in rows)
+    else:
+        out = csv.writer(f, delimiter="\t", quoting=csv.QUOTE_MINIMAL, lineterminator="\n")
+        out.writerow(columns)
+        out.writerows([_shown(v) for v in row] for row in rows)
+
+
 def _write(rows: Iterable, columns: list[str], path: str, fmt: str) -> None:
     with open(path, "w", newline="", encoding="utf-8") as f:
-        if fmt == "csv":
-            out = csv.writer(f, quoting=csv.QUOTE_NONNUMERIC, lineterminator="\n")
-            out.writerow(columns)
-            out.writerows([float(_shown(v)) if isinstance(v, float) else "" if v is None else v for v in row] for row in rows)
-        else:
-            out = csv.writer(f, delimiter="\t", quoting=csv.QUOTE_MINIMAL, lineterminator="\n")
-            out.writerow(columns)
-            out.writerows([_shown(v) for v in row] for row in rows)
+        _rows(rows, columns, f, fmt)
 
 
 def write_report(full: DataFrame, full_path: str, summary_path: str, fmt: str = "tsv") -> None:
@@ -71,22 +82,53 @@ def write_text(records: DataFrame, path: str, compress: bool = False) -> None:
 
 
 def write_sorted_sam(lines: DataFrame, path: str, bam: str | None = None) -> None:
-    """Header and coordinate-sorted lines in one local file; a BAM file and its index too if samtools is installed.
+    """A folder of text files that together, by name, are the header and the coordinate-sorted lines; one range a file.
 
-    ``lines``: value, line_no. Rows are written one by one, so the driver holds no more than a partition.
+    ``lines``: value, line_no. ``bam``: a BAM file and its index too, piped through samtools if that is installed.
     """
-    import shutil
-    import subprocess
+    samsort.sorted_file(lines).write.text(path)
+    if bam:
+        write_bam(lines.sparkSession, path, bam)
 
-    from stratakit.operators import samsort
 
-    with open(path, "w", encoding="utf-8") as f:
-        for r in samsort.header(samsort.references(lines).where("length is not null")).orderBy("rname").toLocalIterator():
-            f.write(r.value + "\n")
-        for r in samsort.coordinate_sorted(lines).select("value").toLocalIterator():
-            f.write(r.value + "\n")
-    if bam:
-        if shutil.which("samtools") is None:
-            raise RuntimeError("BAM files need samtools on the path")
-        subprocess.run(["samtools", "view", "-b", "-o", bam, path], check=True)
-        subprocess.run(["samtools", "index", bam], check=True)
+def write_bam(spark, path: str, bam: str) -> None:
+    """The sorted text under ``path`` as BAM with an index; lines go through a pipe, one partition at a time."""
+    if shutil.which("samtools") is None:
+        raise RuntimeError("BAM files need samtools on the path")
+    rows = spark.read.text(path).select("value", file_order().alias("at")).orderBy("at").select("value")
+    with subprocess.Popen(["samtools", "view", "-b", "-o", bam, "-"], stdin=subprocess.PIPE) as run:
+        for r in rows.toLocalIterator():
+            run.stdin.write(f"{r.value}\n".encode())
+    if run.returncode:
+        raise RuntimeError(f"samtools ended with {run.returncode}")
+    subprocess.run(["samtools", "index", bam], check=True)
+
+
+def print_report(full: DataFrame, out: TextIO, fmt: str = "tsv") -> None:
+    """The summary on a stream."""
+    short = ordered(qualified(full)).select(*SUMMARY)
+    _rows(short.toLocalIterator(), short.columns, out, fmt)
+
+
+def print_text(records: DataFrame, out: TextIO) -> None:
+    for r in records.select("value").toLocalIterator():
+        out.write(f"{r.value}\n")
+
+
+class Log:
+    """Lines with the time since the start, appended to a file and shown on standard error unless ``silent``."""
+
+    def __init__(self, path: str | None, silent: bool = False):
+        self.path, self.silent, self.start = path, silent, time.monotonic()
+        if path:
+            with open(path, "w", encoding="utf-8"):
+                pass
+
+    def __call__(self, text: str) -> None:
+        passed = int(time.monotonic() - self.start)
+        line = f"[{passed // 3600:02d}:{passed // 60 % 60:02d}:{passed % 60:02d}] {text}\n"
+        if self.path:
+            with open(self.path, "a", encoding="utf-8") as f:
+                f.write(line)
+        if not self.silent:
+            sys.stderr.write(line)

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakit.functions import exprs as X
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """value and line_no (a number that grows in file order) of every line that is no header."""
-    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("at"), F.monotonically_increasing_id().alias("row"))
-    # splits of one scan are numbered in partition order, not in file order: rank the few splits, then number rows
-    splits = raw.groupBy("at").agg(F.min("row").alias("low"))
-    ranks = splits.select("at", (F.rank().over(_by_at()) * F.lit(1 << 40)).alias("base"), "low")
-    return raw.join(F.broadcast(ranks), "at").where(~F.col("value").startswith("@")).select("value", (F.col("base") + F.col("row") - F.col("low")).alias("line_no"))
+def file_order() -> Column:
+    """A key that sorts the rows of a text scan in file order.
 
+    Row numbers grow within a split, whatever the order of splits, so no rank of splits and no join is needed.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
-def _by_at():
-    from pyspark.sql import Window
 
-    return Window.orderBy("at.file", "at.block")
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    """value and line_no (a key that sorts in file order) of every line that is no header."""
+    return spark.read.text(path).select("value", file_order().alias("line_no")).where(~F.col("value").startswith("@"))
 
 
 def parse_sam(lines: DataFrame, match_factor: float = 0.0, excluded: DataFrame | None = None) -> DataFrame:
@@ -58,8 +56,13 @@ def counted(parsed: DataFrame) -> DataFrame:
     return parsed.where(~F.col("malformed") & F.col("is_primary") & F.col("valid_match") & F.col("valid_acc"))
 
 
-def counters(parsed: DataFrame) -> DataFrame:
-    """One row: all alignments, invalid matches and excluded accessions (each over every line), malformed, mapped reads."""
+def counter_columns() -> list[Column]:
+    """All alignments, invalid matches and excluded accessions (each over every line), malformed, mapped reads."""
     ok = F.col("is_primary") & F.col("valid_match") & F.col("valid_acc")
     good = ~F.col("malformed")
-    return parsed.agg(F.count("*").alias("alignments"), F.count_if(good & ~F.col("valid_match")).alias("invalid_match"), F.count_if(good & ~F.col("valid_acc")).alias("excluded_acc"), F.count_if(F.col("malformed")).alias("malformed"), F.count_if(good & ok).alias("mapped_reads"))
+    return [F.count(F.lit(1)).alias("alignments"), F.count_if(good & ~F.col("valid_match")).alias("invalid_match"), F.count_if(good & ~F.col("valid_acc")).alias("excluded_acc"), F.count_if(F.col("malformed")).alias("malformed"), F.count_if(good & ok).alias("mapped_reads")]
+
+
+def counters(parsed: DataFrame) -> DataFrame:
+    """One row of ``counter_columns``."""
+    return parsed.agg(*counter_columns())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,12 +35,25 @@ def read_list(spark: SparkSession, path: str, comments: bool = True) -> DataFram
     return (rows.where(~F.col("acc").startswith("#")) if comments else rows).distinct()
 
 
+def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
+    """read_list(); warns where the list is empty."""
+    out = read_list(spark, path, comments=False)
+    if out.isEmpty():
+        warnings.warn(f"no accession in {path}: nothing is excluded", stacklevel=2)
+    return out
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_acc2taxid(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """accession (without version), taxid, priority; the first file has priority 0."""
-    out = None
+    """accession (without version), taxid, priority; the first file has priority 0, and files that are missing are skipped."""
+    out = spark.createDataFrame([], "accession string, taxid string, priority int")
     for k, path in enumerate(paths):
-        part = spark.read.option("header", True).option("sep", "\t").csv(path).select(F.split("accession", r"\.")[0].alias("accession"), F.col("taxid").cast("string").alias("taxid"), F.lit(k).alias("priority"))
-        out = part if out is None else out.unionByName(part)
+        if _there(spark, path):
+            out = out.unionByName(spark.read.option("header", True).option("sep", "\t").csv(path).select(F.split("accession", r"\.")[0].alias("accession"), F.col("taxid").cast("string").alias("taxid"), F.lit(k).alias("priority")))
     return out
 
 
@@ -48,9 +62,12 @@ def read_full_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", "\t").option("quote", "").option("mode", "DROPMALFORMED").csv(path)
 
 
-def rank_abbreviations(path: str | None = None) -> dict[str, str]:
+def rank_abbreviations(path: str | None = None, spark: SparkSession | None = None) -> dict[str, str]:
+    """Major ranks and their abbreviations: those of a JSON file, read by Spark where a session is given, or the usual ones."""
     if path is None:
         return dict(MAJOR_RANKS)
+    if spark is not None:
+        return json.loads(spark.read.option("wholetext", True).text(path).first().value)
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
