@@ -1,46 +1,18 @@
-"""Helpers that the corpus operators share: shared working folders, staged tables, byte-level text views."""
+"""Helpers that the corpus operators share: tables, byte-level text views; staged tables are those of the session module."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from stratakit.session import discard, staged, work_path
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
+__all__ = ["discard", "read_table", "spans", "staged", "utf8_view", "work_path"]
 
-    Where the session names none (tests on one machine), a temporary folder becomes the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir()
-    if base is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratakit-"))
-        base = sc.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
 
-
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts lineage; also gives the path."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that no later plan reads."""
-    sc = spark.sparkContext
-    for path in paths:
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
