@@ -194,7 +194,7 @@ def test_langid(spark):
 
 
 def naive(train_rows, texts, bits=15, alpha=0.5):
-    """Multinomial naive Bayes over the same features, with plain integers and dictionaries."""
+    """(language, score, fit) by multinomial naive Bayes over the same features, with plain integers and dictionaries."""
     primes = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
     def grams(text):
@@ -211,18 +211,19 @@ def naive(train_rows, texts, bits=15, alpha=0.5):
     for text, label in train_rows:
         counts.setdefault(label, Counter()).update(grams(text))
         docs[label] += 1
+    totals = {label: sum(c.values()) + alpha * 2**bits for label, c in counts.items()}
+    shares = {label: [(c[g] + alpha) / totals[label] for g in range(2**bits)] for label, c in counts.items()}
+    usual = {label: sum(p * math.log(p) for p in share) for label, share in shares.items()}
     out = []
     for text in texts:
         if not text or not any(c.isalpha() for c in text):
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, None))
             continue
         found = Counter(grams(text))
-        joint = {}
-        for label in sorted(counts):
-            total = sum(counts[label].values()) + alpha * 2**bits
-            joint[label] = math.log(docs[label] / sum(docs.values())) + sum(n * math.log((counts[label][g] + alpha) / total) for g, n in found.items())
+        own = {label: sum(n * math.log((counts[label][g] + alpha) / totals[label]) for g, n in found.items()) for label in sorted(counts)}
+        joint = {label: math.log(docs[label] / sum(docs.values())) + x for label, x in own.items()}
         best = max(sorted(joint), key=joint.get)
-        out.append((best, 1 / sum(math.exp(v - joint[best]) for v in joint.values())))
+        out.append((best, 1 / sum(math.exp(v - joint[best]) for v in joint.values()), own[best] / sum(found.values()) - usual[best]))
     return out
 
 
@@ -232,6 +233,7 @@ def test_langid_against_plain_numbers(spark):
     want = dict(zip([r.doc_id for r in rows], naive(learned, [r.text for r in rows]), strict=True))
     for r in queries.op4_language_id(spark, SF).collect():
         assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-3), r.doc_id
+        assert (r.fit is None) == (want[r.doc_id][2] is None) and (r.fit is None or r.fit == pytest.approx(want[r.doc_id][2], abs=1e-3)), r.doc_id
 
 
 def test_langid_cases(spark):
