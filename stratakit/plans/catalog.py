@@ -11,10 +11,10 @@ from stratakit.functions import exprs as X
 from stratakit.operators import extract, profile, rollup, samsort, taxonomy
 from stratakit.operators.rollup import Cutoffs
 from stratakit.plans import adapters, oracles
-from stratakit.session import staged
-from stratakit.sources import sam
+from stratakit.session import staged, work_path
+from stratakit.sources import sam, tables
 from stratakit.sources.tables import last_wins
-from stratakit.sources.taxonomy import lineage_nodes, overlay
+from stratakit.sources.taxonomy import lineage_nodes, overlay, read_custom, read_dump
 
 #: Match factor and cutoffs of the registered queries.
 MATCH_FACTOR = 0.05
@@ -284,16 +284,103 @@ def distinct_refs(spark, d):
 @query
 def coordinate_sort(spark, d):
     """Each line's number in coordinate order, from the files that the sorted SAM is written to."""
-    from stratakit.session import work_path
     from stratakit.sinks import reports
 
     path = work_path(spark, "sorted")
     reports.write_sorted_sam(adapters.lines(spark, d), path)
-    rows = sam.read_sam(spark, path).select("line_no", F.split("value", "\t").alias("f"))
-    before = rows.groupBy("line_no.file").agg(F.count("*").alias("n"))
-    numbered = rows.join(before.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base")), F.col("line_no.file") == F.col("file"))
-    place = F.col("base") + F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    return numbered.select(F.get("f", F.lit(0)).alias("qname"), F.get("f", F.lit(2)).alias("rname"), F.get("f", F.lit(3)).cast("long").alias("pos"), place.alias("place"))
+    rows = _numbered(sam.read_sam(spark, path)).select(F.split("value", "\t").alias("f"), "place")
+    return rows.select(F.get("f", F.lit(0)).alias("qname"), F.get("f", F.lit(2)).alias("rname"), F.get("f", F.lit(3)).cast("long").alias("pos"), "place")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Lines of a folder of files with their place in it."""
+    before = rows.groupBy("line_no.file").agg(F.count("*").alias("n")).select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
+    joined = rows.join(before, F.col("line_no.file") == F.col("file"))
+    return joined.withColumn("place", F.col("base") + F.row_number().over(Window.partitionBy("file").orderBy("line_no")))
+
+
+def _file(df: DataFrame, name: str) -> str:
+    """``df`` (one text column) as a folder of text files in the shared folder."""
+    path = work_path(df.sparkSession, name)
+    df.write.text(path)
+    return path
+
+
+@query
+def sam_file(spark, d):
+    """Alignments written as SAM text with header lines, scanned and parsed."""
+    header = spark.createDataFrame([("@HD\tVN:1.6",), ("@SQ\tSN:P1|1|1000|101\tLN:1000",)], "value string")
+    path = _file(header.unionByName(adapters.lines(spark, d).select("value")), "sam")
+    rows = sam.parse_sam(sam.read_sam(spark, path), MATCH_FACTOR)
+    return rows.select("qname", "flag", "rname", "pos", "as_score", "nm", "mapped_len", "read_len", "region_start", "region_end", "is_primary", "valid_match", "malformed")
+
+
+@query
+def stats_file(spark, d):
+    rows = adapters.view(spark, d, adapters.STATS_SQL).select(F.concat_ws("\t", "db_level", F.lit("name"), "taxid", F.lit("Archaea"), F.lit("1"), F.lit("2"), F.lit("3"), F.col("total_length").cast("string"), F.when(F.col("id") % 3 == 0, "none").otherwise(F.col("genome_size").cast("string")), "note").alias("value"))
+    header = spark.createDataFrame([("DB_level\tName\tTaxid\tSuperkingdom\tN\tMax\tMin\tTotalLength\tGenomeSize\tNote",)], "value string")
+    return tables.read_stats(spark, _file(header.unionByName(rows), "stats"))
+
+
+@query
+def list_file(spark, d):
+    """Accessions of an exclusion list with comments, blanks and repeats."""
+    rows = adapters.view(spark, d, "select concat(case when p_partkey % 5 = 0 then '#' else ' ' end, 'P', cast(p_partkey % 200 as string), ' ') as value from part union all select '' from part")
+    return tables.read_list(spark, _file(rows, "list"))
+
+
+@query
+def dump_files(spark, d):
+    """Nodes from dump files with names of several kinds."""
+    nodes = adapters.nodes(spark, d)
+    folder = work_path(spark, "dump")
+    cells = lambda *c: F.concat(F.concat_ws("\t|\t", *c), F.lit("\t|")).alias("value")
+    names = nodes.select(cells("tid", "name", F.lit(""), F.lit("scientific name"))).unionByName(nodes.select(cells("tid", F.concat(F.lit("old "), "name"), F.lit(""), F.lit("synonym"))))
+    names.write.text(f"{folder}/names.dmp")
+    nodes.select(cells("tid", "parent", "rank", F.lit("XX"))).write.text(f"{folder}/nodes.dmp")
+    adapters.view(spark, d, adapters.MERGED_SQL).select(cells("old", "new")).write.text(f"{folder}/merged.dmp")
+    found, merged = read_dump(spark, folder)
+    return found.unionByName(merged.select(F.col("old").alias("tid"), F.col("new").alias("parent"), F.lit("merged").alias("rank"), F.lit("").alias("name")))
+
+
+@query
+def taxonomy_file(spark, d):
+    """Nodes of a table with older rows before newer ones."""
+    nodes = adapters.nodes(spark, d)
+    line = lambda name: F.concat_ws("\t", "tid", F.lit("0"), "parent", "rank", name).alias("value")
+    rows = nodes.select(line(F.lit("older")), F.lit(0).alias("k")).unionByName(nodes.select(line(F.col("name")), F.lit(1).alias("k")))
+    return read_custom(spark, _file(rows.orderBy("k").select("value"), "taxonomy"))
+
+
+@query
+def gtdb_file(spark, d):
+    """Nodes of a genome taxonomy with a strain level added."""
+    rows = adapters.view(spark, d, oracles.GTDB_SQL)
+    return read_custom(spark, _file(rows.select("value"), "gtdb"), "gtdb")
+
+
+@query
+def acc2taxid_files(spark, d):
+    """Accession maps of three files, one of them missing."""
+    table = adapters.view(spark, d, oracles.ACC_TABLE_SQL)
+    paths = []
+    for k in range(3):
+        header = spark.createDataFrame([("accession\taccession.version\ttaxid\tgi",)], "value string")
+        rows = table.where(F.col("priority") == k).select(F.concat_ws("\t", "accession", F.concat("accession", F.lit(".1")), "taxid", F.lit("0")).alias("value"))
+        # the header is the first line of its file
+        paths += [_file(header.unionByName(rows).coalesce(1), f"acc-{k}"), work_path(spark, "missing")]
+    return tables.read_acc2taxid(spark, paths).select("accession", "taxid", (F.col("priority") / 2).cast("int").alias("priority"))
+
+
+@query
+def extract_file(spark, d):
+    """Heads of the extracted records with their place in the written files: taxa by their first read, reads in file order."""
+    from stratakit.sinks import reports
+
+    path = work_path(spark, "extract")
+    reports.write_text(extract.in_file_order(_extracted(spark, d)), path)
+    rows = spark.read.text(path).select("value", sam.file_order().alias("line_no")).where(F.col("value").startswith(">"))
+    return _numbered(rows).select(F.col("value").alias("head"), "place")
 
 
 @query

@@ -14,6 +14,8 @@ select concat('P', cast(p_partkey as string)) as accession, cast(p_size as strin
 union all select concat('P', cast(p_partkey as string)), cast(1000 + p_size as string), 1 from part where p_partkey % 3 <> 1
 union all select concat('P', cast(p_partkey as string)), cast(2000 + p_size as string), 2 from part where p_partkey % 2 = 0"""
 
+GTDB_SQL = "select concat('G', cast(n_nationkey as string), chr(9), 'd__', r_name, ';p__P', cast(n_nationkey as string), ';s__S', cast(n_nationkey as string)) as value from (select * from nation) n join (select * from region) r on n_regionkey = r_regionkey"
+
 _ABBR = "case {0} when 'superkingdom' then 'sk' when 'phylum' then 'p' when 'class' then 'c' when 'order' then 'o' when 'family' then 'f' when 'genus' then 'g' when 'species' then 's' when 'strain' then 'n' else {0} end"
 _NO = "case {0} when 'superkingdom' then 1 when 'phylum' then 2 when 'class' then 3 when 'order' then 4 when 'family' then 5 when 'genus' then 6 when 'species' then 7 when 'strain' then 8 end"
 _MAJOR = "('superkingdom','phylum','class','order','family','genus','species','strain')"
@@ -188,6 +190,15 @@ def build(match_factor: float, cut) -> dict[str, str]:
         "reverse_complement": f"{with_}{alignments(0)} select line_no, translate(reverse(seq), '{codes}', '{pairs}') as revcomp, reverse(qual) as qual_reversed, case when flag & 64 > 0 then '.1' when flag & 128 > 0 then '.2' else '' end as mate, case when flag & 128 > 0 then qname || '/2' else qname end as qkey from aln",
         "distinct_refs": f"with raw as ({A.SAM_SQL}), n as (select distinct string_split(value, chr(9))[3] as rname from raw) select rname, try_cast(string_split(rname, '|')[3] as bigint) - try_cast(string_split(rname, '|')[2] as bigint) + 1 as length from n",
         "coordinate_sort": f"with raw as ({A.SAM_SQL}), f as (select line_no, string_split(value, chr(9)) as f from raw), r as (select line_no, f[1] as qname, f[3] as rname, cast(f[4] as bigint) as pos from f) select qname, rname, pos, row_number() over (order by rname, pos, line_no)::bigint as place from r",
+        "sam_file": f"{with_}{base} select qname, flag, rname, pos, as_score, nm, mapped_len, read_len, region_start, region_end, is_primary, valid_match, false as malformed from aln",
+        "stats_file": f"with s as ({A.STATS_SQL}) select db_level, taxid, total_length, case when id % 3 = 0 then 0 else genome_size end as genome_size, note from s",
+        "list_file": "select distinct 'P' || (p_partkey % 200) as acc from part where p_partkey % 5 <> 0",
+        "dump_files": f"with n as ({A.NODES_SQL}), m as ({A.MERGED_SQL}) select tid, parent, rank, name from n union all select old, new, 'merged', '' from m",
+        "taxonomy_file": f"with n as ({A.NODES_SQL}) select tid, parent, rank, name from n",
+        "gtdb_file": """with x as (select r_name, 'P' || n_nationkey as p, 'S' || n_nationkey as s, 'G' || n_nationkey as g from nation join region on n_regionkey = r_regionkey)
+            select '1' as tid, '1' as parent, 'root' as rank, 'root' as name union select r_name, '1', 'superkingdom', r_name from x union select p, r_name, 'phylum', p from x union select s, p, 'species', s from x union select g, s, 'strain', g from x""",
+        "acc2taxid_files": f"select accession, taxid, priority::int as priority from ({ACC_TABLE_SQL})",
+        "extract_file": f"{with_}{reads}, kept as (select *, min(line_no) over (partition by tax) as first_ from hits where rn <= 20) select '>' || {head} as head, row_number() over (order by first_, tax, line_no)::bigint as place from kept",
         "report_order": f"{with_}{report} select level, name, taxid, row_number() over (order by {_NO.format('level')}, round(abundance, 9) desc, name, taxid)::int as place from full_",
         "lineage_types": f"""{with_}{tree}, sp as (select query, min(dist) as d from up where dist > 0 and rank = 'species' group by query)
             select sp.query, up.tid as type_taxid, up.name as type_name from sp join up on sp.query = up.query and up.dist = sp.d - 1 where sp.d > 1""",
