@@ -1,4 +1,4 @@
-"""Command line: ``python -m stratakit.cli profile|extract|names|search|sort|version``."""
+"""Command line: ``python -m stratakit.cli profile|extract|names|search|sort|pull|version``."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import argparse
 import json
 import os
 import sys
+from dataclasses import replace
 
 from stratakit.config import ProfileConfig, ani_limits
 from stratakit.operators.rollup import Cutoffs
-from stratakit.sources import taxonomy
+from stratakit.sources import external, taxonomy
 
 VERSION = "0.1.0"
 
@@ -18,6 +19,9 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="stratakit")
     sub = top.add_subparsers(dest="command", required=True)
     sub.add_parser("version")
+    fetch = sub.add_parser("pull", help="fetch and unpack a database or taxonomy archive")
+    fetch.add_argument("url")
+    fetch.add_argument("-o", "--outdir", default=".")
     search = sub.add_parser("search", help="reads whose line holds one of the taxa")
     search.add_argument("-s", "--sam", required=True)
     search.add_argument("-t", "--taxa", required=True, help="comma list, or a file of one id per line")
@@ -30,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         source = p.add_mutually_exclusive_group(required=True)
         source.add_argument("-i", "--input", nargs="+", default=[])
-        source.add_argument("-s", "--sam")
+        source.add_argument("-s", "--sam", help="SAM or BAM file, or - for standard input")
         p.add_argument("-d", "--database", required=True)
         p.add_argument("-l", "--db-level")
         p.add_argument("-p", "--prefix")
@@ -80,6 +84,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "version":
         print(VERSION)
         return 0
+    if a.command == "pull":
+        print(*external.pull(a.url, a.outdir), sep="\n")
+        return 0
     from stratakit.session import local_session, ship
 
     spark = ship(local_session())
@@ -92,7 +99,7 @@ def _search(spark, a) -> int:
     from stratakit.sources import sam, tables
 
     taxa = [r.acc for r in tables.read_list(spark, a.taxa, comments=False).collect()] if os.path.exists(a.taxa) else [x.strip() for x in a.taxa.split(",") if x.strip()]
-    found = extract.text_search(sam.read_sam(spark, a.sam), [extract.literal(t) for t in taxa])
+    found = extract.text_search(sam.read_sam(spark, external.local_sam(a.sam, f"{a.output}.input.sam")), [extract.literal(t) for t in taxa])
     reports.write_text(extract.search_records(found), f"{a.output}.fasta", compress=True)
     reports.write_text(extract.search_records(found, table=True), f"{a.output}.tsv")
     print(f"{found.count()} reads")
@@ -103,7 +110,7 @@ def _sort(spark, a) -> int:
     from stratakit.sinks import reports
     from stratakit.sources import sam
 
-    reports.write_sorted_sam(sam.read_sam(spark, a.sam), a.output, a.bam)
+    reports.write_sorted_sam(sam.read_sam(spark, external.local_sam(a.sam, f"{a.output}.input.sam")), a.output, a.bam)
     return 0
 
 
@@ -136,6 +143,8 @@ def _run(spark, a) -> int:
     base = os.path.join(a.outdir, config.prefix)
     log = reports.Log(f"{base}.log", a.silent)
     log(f"settings: {config}")
+    if config.sam:
+        config = replace(config, sam=external.local_sam(config.sam, f"{base}.input.sam"))
     _, nodes, merged, ranks = _taxonomy(spark, a, config.database)
     excluded = tables.read_exclusions(spark, a.exclude) if a.exclude else None
     out = sys.stdout if a.stdout else None

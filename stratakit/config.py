@@ -39,7 +39,7 @@ class ProfileConfig:
         if level is None:
             raise ValueError("the database's level is not in its name; give db_level")
         name = (self.reads[0] if self.reads else self.sam).rsplit("/", 1)[-1]
-        prefix = self.prefix or re.sub(r"(\.(sam|fastq|fq|fasta|fa|gz))+$", "", name)
+        prefix = self.prefix or ("stdin" if name == "-" else re.sub(r"(\.(sam|bam|fastq|fq|fasta|fa|gz))+$", "", name))
         remove = {"auto": "yes" if self.reads else "no"}.get(self.remove_multiple, self.remove_multiple)
         options = ("-s60" if self.preset == "sr" else "") if self.aligner_options == "auto" else self.aligner_options
         cut, factor = self.cutoffs, self.match_factor

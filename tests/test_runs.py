@@ -191,6 +191,35 @@ def test_aligner_is_called_if_there(monkeypatch, tmp_path):
         pipeline.align(config, str(tmp_path / "o.sam"))
 
 
+def test_other_inputs(monkeypatch, tmp_path, capsys):
+    """Standard input, a BAM file through a stand-in for samtools, and an archive by URL."""
+    import io
+    import sys
+    import tarfile
+    from types import SimpleNamespace
+
+    from stratakit.sources import external
+
+    assert external.local_sam("x.sam", "t") == "x.sam"
+    monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(b"line\n")))
+    target = str(tmp_path / "in.sam")
+    assert external.local_sam("-", target) == target and (tmp_path / "in.sam").read_text() == "line\n"
+    tool = tmp_path / "bin" / "samtools"
+    tool.parent.mkdir()
+    tool.write_text('#!/bin/sh\necho "$@"\n')
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tool.parent}:/usr/bin:/bin")
+    assert external.local_sam("a.bam", target) == target and (tmp_path / "in.sam").read_text() == "view -h a.bam\n"
+    monkeypatch.setenv("PATH", str(tmp_path))
+    with pytest.raises(RuntimeError, match="samtools"):
+        external.local_sam("a.bam", target)
+    with tarfile.open(tmp_path / "db.tar.gz", "w:gz") as tar:
+        tar.add(target, "db/part.txt")
+    assert cli.main(["pull", (tmp_path / "db.tar.gz").as_uri(), "-o", str(tmp_path / "got")]) == 0
+    assert capsys.readouterr().out.split() == ["db/part.txt"] and (tmp_path / "got" / "db" / "part.txt").exists()
+    assert ProfileConfig("x/db.strain", sam="-").resolved().prefix == "stdin" and ProfileConfig("x/db.strain", sam="a/b.bam").resolved().prefix == "b"
+
+
 def test_search_and_headers(spark):
     rows = lines(spark, ["@SQ\tSN:901", *READS, "short\t901"])
     assert extract.text_search(rows, [extract.literal("901")]).count() == 3
