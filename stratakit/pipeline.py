@@ -112,7 +112,8 @@ def run_extract(spark: SparkSession, parsed: DataFrame, full: DataFrame, nodes:
     """Records of the selected taxa (also written to the folder ``path``) and how many."""
     chosen = extract.Selector.parse(selector)
     asked = tables.read_list(spark, chosen.file) if chosen.file else chosen.taxa
-    counted = sam.counted(parsed)
+    # the lines are parsed once, for the ids and for the reads
+    counted, _ = staged(sam.counted(parsed).select("taxid", "line_no", "qname", "flag", "rname", "region_start", "region_end", "seq", "qual"), "alignments")
     ids = counted.select(F.col("taxid").alias("query")).distinct()
     reads, _ = staged(extract.reads_by_taxon(counted, extract.taxa_of(full, asked), extract.closure(taxonomy.walk(ids, nodes)), chosen.limit), "reads")
     records = extract.in_file_order(reads, chosen.fmt)
