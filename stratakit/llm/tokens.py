@@ -18,7 +18,6 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
-import regex
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
@@ -42,6 +41,26 @@ def _spelled(piece: str) -> str:
     return piece if piece.isascii() else "".join([_SPELL[b] for b in piece.encode()])
 
 
+def _latin_pattern(pattern: str) -> re.Pattern | None:
+    """A split pattern for lower-case text of the characters in ``_PLAIN``: letters and numbers become ranges; None for other properties."""
+    classes, out, inside, i = {r"\p{L}": "a-zß-öø-ÿ", r"\p{N}": "0-9"}, [], False, 0
+    while i < len(pattern):
+        ranges = classes.get(pattern[i : i + 5])
+        if ranges:
+            out.append(ranges if inside else f"[{ranges}]")
+            i += 5
+        elif pattern[i] == "\\":
+            if pattern[i + 1 : i + 2] in ("p", "P", "X"):
+                return None
+            out.append(pattern[i : i + 2])
+            i += 2
+        else:
+            inside = pattern[i] == "[" or (inside and pattern[i] != "]")
+            out.append(pattern[i])
+            i += 1
+    return re.compile("".join(out))
+
+
 class _Chunks(dict):
     """Ids by chunk; a chunk not held is encoded and, unless very long, kept."""
 
@@ -81,7 +100,7 @@ class WordEncoder:
         return plain and '"Removed"' in split and "[^\\\\s" in split and '"add_prefix_space": false' in split and model.get("end_of_word_suffix") == "</w>" and spec.get("post_processor") is None
 
     @staticmethod
-    def _splitter(spec: dict) -> regex.Pattern | None:
+    def _splitter(spec: dict) -> re.Pattern | None:
         """The file's split pattern, if its normaliser and splitter are of the form that the short way stands for."""
         normal = (spec.get("normalizer") or {}).get("normalizers") or []
         parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
@@ -95,7 +114,7 @@ class WordEncoder:
         model = spec.get("model") or {}
         if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout"):
             return None
-        return regex.compile(split["pattern"]["Regex"])
+        return _latin_pattern(split["pattern"]["Regex"])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
